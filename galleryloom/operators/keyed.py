@@ -46,14 +46,17 @@ def join_lookup(
     return salted_left.join(salted_lookup, [key, "_salt"], how).drop("_salt", "_hot")
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the one with the lowest `order`; a map-side aggregate instead of a window."""
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], copies: str | None = None) -> DataFrame:
+    """One row per key, the one lowest in `order`; a map-side aggregate instead of a window.
+
+    `copies` names an optional column with the number of rows the key had.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
-        .select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+    found = df.groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"), F.count(F.lit(1)).alias("_copies")
     )
+    counted = [F.col("_copies").alias(copies)] if copies else []
+    return found.select(*keys, *[F.col("_row")[c].alias(c) for c in rest], *counted)
 
 
 def hash_key(id_col: str | Column, seed: int = 42) -> Column:
@@ -86,8 +89,10 @@ def hash_cutoff(df: DataFrame, key: str, quotas: DataFrame, strata: list[str]) -
     )
 
 
-def carry_forward(df: DataFrame, group: list[str], line: str, value: str, out: str) -> DataFrame:
-    """Last non-null `value` at or before each line of a group.
+def carry_forward(
+    df: DataFrame, group: list[str], line: str, value: str, out: str, inclusive: bool = True
+) -> DataFrame:
+    """Last non-null `value` at or before (`inclusive`), or strictly before, each line of a group.
 
     Lines are cut into blocks: a block needs only the last value of the blocks before it, so a group
     with very many lines is spread over many tasks.
@@ -98,7 +103,11 @@ def carry_forward(df: DataFrame, group: list[str], line: str, value: str, out: s
     )
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carries = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).drop("_tail")
-    inside = Window.partitionBy(*group, "_block").orderBy(line)
+    inside = (
+        Window.partitionBy(*group, "_block")
+        .orderBy(line)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    )
     return (
         blocked.join(carries, [*group, "_block"])
         .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carry")))

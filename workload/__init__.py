@@ -1,8 +1,8 @@
 """Registered queries and, where SQL can express them, the SQL they are checked with."""
 
-from workload import text, vision
+from workload import tables, text, vision
 
-MODULES = (vision, text)
+MODULES = (vision, text, tables)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
