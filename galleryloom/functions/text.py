@@ -66,16 +66,21 @@ def word_tokens(c: str | Column) -> Column:
 
 
 def word_ngrams(tokens: Column, shortest: int, longest: int) -> Column:
-    """All n-grams of the token list, joined by single spaces."""
+    """All n-grams of the token list, joined by single spaces.
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
+    Longer n-grams grow from shorter ones by zipping with the shifted token list, so the work is
+    linear; slicing the list at every position would copy it each time.
+    """
+    size = F.size(tokens)
+    grams = {1: tokens}
+    for n in range(2, longest + 1):
+        room = F.greatest(size - (n - 1), F.lit(0))
+        grams[n] = F.zip_with(
+            F.slice(grams[n - 1], F.lit(1), room),
+            F.slice(tokens, F.lit(n), room),
+            lambda head, tail: F.concat_ws(" ", head, tail),
         )
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-
-    parts = [tokens if n == 1 else of(n) for n in range(shortest, longest + 1)]
-    return F.concat(*parts)
+    return F.concat(*[grams[n] for n in range(shortest, longest + 1)])
 
 
 def squeeze_blanks(c: str | Column) -> Column:
@@ -84,15 +89,13 @@ def squeeze_blanks(c: str | Column) -> Column:
 
 
 def char_ngrams(text: Column, shortest: int, longest: int) -> Column:
-    """All character n-grams across the text; none of a length the text does not reach."""
+    """All character n-grams across the text; none of a length the text does not reach.
 
-    def of(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-
-    return F.concat(*[of(n) for n in range(shortest, longest + 1)])
+    A look-ahead captures the n characters at every position in one linear scan; positions inside a
+    surrogate pair are skipped.
+    """
+    at = r"(?s)(?![\uDC00-\uDFFF])(?=(.{%d}))"
+    return F.concat(*[F.regexp_extract_all(text, F.lit(at % n), F.lit(1)) for n in range(shortest, longest + 1)])
 
 
 def _fold(text: str) -> str:
@@ -114,8 +117,7 @@ _SETTLED = "".join(
 )
 
 
-@F.pandas_udf("string")
-def _fold_series(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _fold_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in texts:
         yield series.map(_fold, na_action="ignore")
 
@@ -131,7 +133,7 @@ def fold_accents(c: str | Column, full: bool = False) -> Column:
     if not full:
         return plain
     rest = F.translate(text, _SETTLED, "")
-    return F.coalesce(_fold_series(F.when(rest.rlike(r"[^\x00-\x7F]"), text)), plain)
+    return F.coalesce(F.pandas_udf(_fold_batches, "string")(F.when(rest.rlike(r"[^\x00-\x7F]"), text)), plain)
 
 
 def language_of(text: str | Column) -> Column:

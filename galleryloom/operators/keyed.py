@@ -19,7 +19,7 @@ CARRY_BLOCK = 4096
 def join_lookup(
     left: DataFrame,
     lookup: DataFrame,
-    key: str,
+    key: str | list[str],
     how: str = "inner",
     load: str | None = None,
     spread: str | None = None,
@@ -32,7 +32,7 @@ def join_lookup(
     """
     if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(lookup), key, how)
-    if load is None or spread is None:
+    if load is None or spread is None or not isinstance(key, str):
         return left.join(lookup, key, how)
     total = lookup.agg(F.sum(load)).scalar()
     hot = F.col(load) * HOT_KEYS > total
@@ -79,16 +79,38 @@ def hash_cutoff(df: DataFrame, key: str, quotas: DataFrame, strata: list[str]) -
     boundary = cumulative.where(
         (F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota"))
     ).select(*strata, "_prefix", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_rank"))
+    rows = df.select(*strata, key, prefix.alias("_prefix"))
+    if strata:
+        candidates = join_lookup(rows, checked_lookup(boundary, "boundaries"), [*strata, "_prefix"])
+    else:
+        candidates = rows.where(F.col("_prefix") == boundary.select("_prefix").scalar()).withColumn(
+            "_rank", boundary.select("_rank").scalar()
+        )
     within = Window.partitionBy(*strata, "_prefix").orderBy(key)
     return (
-        df.select(*strata, key, prefix.alias("_prefix"))
-        .join(boundary, [*strata, "_prefix"])
-        .withColumn("_position", F.row_number().over(within))
+        candidates.withColumn("_position", F.row_number().over(within))
         .where(F.col("_position") == F.col("_rank"))
         .select(*strata, F.col(key).alias("cutoff"))
     )
 
 
+def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Number the rows 0..n-1 by hash bucket and key, without ranking everything in one task.
+
+    `key` must be unique. The window over buckets has at most 16^3 rows.
+    """
+    bucketed = df.withColumn("_bucket", F.substring(F.md5(key), 1, 3))
+    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_bucket").orderBy(key)
+    return (
+        bucketed.join(F.broadcast(offsets), "_bucket")
+        .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
+        .drop("_bucket", "_offset")
+    )
+
+
 def carry_forward(
     df: DataFrame, group: list[str], line: str, value: str, out: str, inclusive: bool = True
 ) -> DataFrame:

@@ -1,8 +1,8 @@
 """Registered queries and, where SQL can express them, the SQL they are checked with."""
 
-from workload import tables, text, vision
+from workload import features, tables, text, vision
 
-MODULES = (vision, text, tables)
+MODULES = (vision, text, tables, features)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
