@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def parse_document(json: str | Column) -> Column:
+def parse_documents(df: DataFrame, json: str | Column, keep: tuple[str, ...] = (), out: str = "document") -> DataFrame:
     """JSON text to a VARIANT holding `[document]`, or NULL when the text is not exactly one object.
 
     The parser ignores text after a complete value, so the text is wrapped in brackets: anything
-    after the object then either fails to parse or shows up as a second element.
+    after the object then either fails to parse or shows up as a second element. Two steps, so that
+    each text is parsed once.
     """
     text = F.col(json) if isinstance(json, str) else json
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     is_object = F.substring(F.ltrim(F.translate(text, "\t\r\n", "   ")), 1, 1) == "{"
-    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(is_object & single, wrapped)
+    parsed = df.select(
+        *keep,
+        is_object.alias("_is_object"),
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).alias("_parsed"),
+    )
+    single = F.try_variant_get("_parsed", "$[1]", "variant").isNull()
+    return parsed.select(*keep, F.when(F.col("_is_object") & single, F.col("_parsed")).alias(out))
 
 
 def field(document: str | Column, path: str, data_type: str) -> Column:

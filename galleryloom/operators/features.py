@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleryloom.functions.text import char_ngrams, fold_accents, squeeze_blanks, text_or_empty, word_ngrams, word_tokens
-from galleryloom.operators.keyed import checked_lookup, join_lookup
+from galleryloom.operators.keyed import checked_lookup, join_lookup, place_by_key, unroll
 
 PROJECTION_SIZE = 256
 SELECTED_FEATURES = 2000
@@ -58,8 +58,8 @@ def with_terms(docs: DataFrame, family: Family, text: str = "text", keep: tuple[
 
 def term_counts(docs: DataFrame, family: Family, text: str = "text", keep: tuple[str, ...] = ("key",)) -> DataFrame:
     """Occurrences per document and term. Texts are shuffled by key, their n-grams are not."""
-    placed = docs.select(*keep, text).repartition("key")
-    terms = with_terms(placed, family, text, keep).select(*keep, F.explode("terms").alias("term"))
+    placed = place_by_key(docs.select(*keep, text), "key")
+    terms = unroll(with_terms(placed, family, text, keep), list(keep), F.col("terms"), "term")
     return terms.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -74,7 +74,7 @@ def fit_vocabulary(train: DataFrame, family: Family, text: str = "text") -> Data
     """
     n = train.agg(F.count(F.lit(1))).scalar()
     if family.max_features is None:
-        terms = with_terms(train, family, text).select(F.explode(F.array_distinct("terms")).alias("term"))
+        terms = unroll(with_terms(train, family, text), [], F.array_distinct("terms"), "term")
         counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     else:
         counted = term_counts(train, family, text).groupBy("term").agg(

@@ -137,6 +137,29 @@ def carry_forward(
     )
 
 
+def unroll(df: DataFrame, columns: list, items: Column, *names: str, inline: bool = False) -> DataFrame:
+    """One row per list item (`inline` for structs), without the rows of empty lists.
+
+    A plain explode makes the optimizer test the list for emptiness below the generator, which
+    evaluates an expensive list expression twice and pulls it in front of earlier shuffles. The
+    outer form has no such test; its NULL rows are dropped afterwards.
+    """
+    if inline:
+        rows = df.select(*columns, F.inline_outer(items).alias(*names))
+    else:
+        rows = df.select(*columns, F.explode_outer(items).alias(*names))
+    return rows.where(F.col(names[0]).isNotNull())
+
+
+def place_by_key(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle whole records by key before they are unrolled into many rows.
+
+    The count is given explicitly: adaptive coalescing would size the tasks by the small records
+    and not by the rows they unroll into.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def checked_lookup(df: DataFrame, label: str) -> DataFrame:
     """Materialise a lookup so that counting it for `join_lookup` does not compute it twice."""
     return materialize(df, label)

@@ -55,7 +55,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add `split` with the same share of `test` in every class."""
     marked = _marked(df, key, seed)
-    quotas = checked_lookup(class_quotas(df, label, fraction).select(label, "quota"), "quotas")
+    quotas = class_quotas(df, label, fraction).select(label, "quota")
     cutoffs = checked_lookup(hash_cutoff(marked.select(label, "_h"), "_h", quotas, [label]), "cutoffs")
     joined = join_lookup(marked, cutoffs, label, "left")
     return joined.withColumn("split", F.when(F.col("_h") <= F.col("cutoff"), "test").otherwise("train")).drop(

@@ -26,7 +26,7 @@ def vision_report(docs: DataFrame, doc_key: str, keys: tuple[str, ...] = (), thr
         "label-facts",
     )
     occurrences = facts.select(*keys, "image_name", F.inline("items"))
-    sets = facts.select(doc_key, *keys, "labels").where(F.size("labels") > 0)
+    sets = facts.select(doc_key, *keys, "labels")
     tones = colors.with_tone(colors.top_colors(docs, keep=keys))
     return {
         "labels": labels.label_frequency(occurrences, keys),

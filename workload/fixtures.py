@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galleryloom.functions.annotations import parse_document
+from galleryloom.functions.annotations import parse_documents
 
 TOPICS = 12
 
@@ -57,7 +57,7 @@ def vision_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vision_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return vision_json(spark, sf).select("doc_key", "topic", parse_document("json").alias("document"))
+    return parse_documents(vision_json(spark, sf), "json", ("doc_key", "topic"))
 
 
 def color_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,11 +81,12 @@ def color_docs(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.pmod(key, F.lit(2)) == 0, processed)
         .otherwise(raw)
     )
-    return part.select(
+    texts = part.select(
         F.col("p_partkey").alias("doc_key"),
         (F.pmod(key, F.lit(TOPICS)) + 1).cast("int").alias("topic"),
-        parse_document(json).alias("document"),
+        json.alias("json"),
     )
+    return parse_documents(texts, "json", ("doc_key", "topic"))
 
 
 def line_responses(spark: SparkSession, sf: str, section: str, item: Column, with_part: bool = False) -> DataFrame:
@@ -108,7 +109,7 @@ def _responses(df: DataFrame, key: str, section: str, value: Column) -> DataFram
     top = section.split(".")[0]
     present = F.when(F.pmod(key, F.lit(7)) != 0, value[top])
     json = F.to_json(F.struct(name.alias("image_name"), present.alias(top)))
-    return df.select(parse_document(json).alias("document"))
+    return parse_documents(df, json)
 
 
 def order_responses(spark: SparkSession, sf: str, section: str, value: Column) -> DataFrame:

@@ -119,7 +119,8 @@ def _sets(spark, sf, threshold=0.0):
     + "\nSELECT k AS doc_key, string_agg(label, '|' ORDER BY label) AS labels FROM sets GROUP BY k",
 )
 def label_sets(spark, sf):
-    return _sets(spark, sf, 0.3).select("doc_key", F.array_join("labels", "|").alias("labels"))
+    sets = _sets(spark, sf, 0.3).where(F.size("labels") > 0)
+    return sets.select("doc_key", F.array_join("labels", "|").alias("labels"))
 
 
 @query("label_image_counts", _SETS0.rstrip().rstrip(",") + "\nSELECT label, images FROM counts")
