@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from galleryloom.functions.text import fold_accents
 from galleryloom.operators import features as ft
 from galleryloom.operators import splits
+from galleryloom.operators.keyed import place_by_key
 from galleryloom.session import materialize
 from workload import fixtures as fx
 from workload.tables import _RANKED
@@ -30,7 +31,7 @@ def training_set(spark, sf, label="lang"):
     docs = fx.descriptions(spark, sf).select(
         F.col("image_name").alias("key"), F.col("description").alias("text"), "lang"
     )
-    return splits.stratified_split(docs, "key", label)
+    return place_by_key(splits.stratified_split(docs, "key", label), "key")
 
 
 _CORPUS = _RANKED + """,
