@@ -1,8 +1,8 @@
 """Registered queries and, where SQL can express them, the SQL they are checked with."""
 
-from workload import features, tables, text, topics, vision
+from workload import features, models, sources, tables, text, topics, vision
 
-MODULES = (vision, text, tables, features, topics)
+MODULES = (vision, text, tables, features, topics, models, sources)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
