@@ -50,12 +50,16 @@ class TextFeatures:
     model: PipelineModel
 
     def transform(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Add `features`; the n-gram lists live only inside the job."""
+        """Add `features`; the n-gram lists live only inside the job.
+
+        The per-feature attributes are dropped: with a large vocabulary they would travel in every plan.
+        """
         kept = docs.columns
         staged = docs
         for i, family in enumerate(self.families):
             staged = ft.with_terms(staged, family, text, tuple(staged.columns)).withColumnRenamed("terms", f"_terms{i}")
-        return self.model.transform(staged).select(*kept, "features")
+        features = F.col("features").alias("features", metadata={"families": [f.unit for f in self.families]})
+        return self.model.transform(staged).select(*kept, features)
 
     def size(self) -> int:
         return sum(len(s.vocabulary) for s in self.model.stages if isinstance(s, CountVectorizerModel))
@@ -191,8 +195,9 @@ def train_boosted_trees(
 ) -> TextClassifier:
     """One-vs-rest boosting with early stopping on a validation slice hashed out of the train rows."""
     rows, classes = _prepared(train, label)
-    # The first hex digits of the hash are uniform: a fixed share without counting or ranking.
-    slot = F.conv(F.substring(hash_key(key, seed), 1, 4), 16, 10).cast("int")
+    # The first hex digits of the hash are uniform: a fixed share without counting or ranking. The
+    # seed differs from the split's, whose train rows all have high hashes.
+    slot = F.conv(F.substring(hash_key(key, seed + 1), 1, 4), 16, 10).cast("int")
     rows = rows.withColumn("validation", slot < int(VALIDATION_FRACTION * 65536))
     boosted = GBTClassifier(
         maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed,
