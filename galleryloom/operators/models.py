@@ -94,9 +94,11 @@ def fit_text_features(
     for i, family in enumerate(families):
         terms = ft.with_terms(train, family, text).select(F.col("terms").alias(f"_terms{i}"))
         counter = CountVectorizer(
-            inputCol=f"_terms{i}", outputCol=f"_counts{i}", minDF=family.min_df, maxDF=family.max_df,
+            inputCol=f"_terms{i}", outputCol=f"_counts{i}", minDF=family.min_df,
             vocabSize=family.max_features or VOCABULARY_SIZE,
-        ).fit(terms)
+        )
+        # The library reads 1.0 as one document, not as all of them.
+        counter = (counter if family.max_df >= 1.0 else counter.setMaxDF(family.max_df)).fit(terms)
         idf = IDF(inputCol=f"_counts{i}", outputCol="_idf").fit(counter.transform(terms)).idf
         weigh = ElementwiseProduct(
             scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol=f"_counts{i}", outputCol=f"_weighted{i}"

@@ -19,7 +19,7 @@ def connect(sf: str):
 
 def _norm(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
+        return None if math.isnan(value) else round(value, 9) + 0.0
     return value
 
 

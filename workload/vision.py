@@ -41,8 +41,8 @@ items AS (
 
 _FREQ = """
   count(*) AS "count", count(DISTINCT coalesce(image_name, '∅')) AS image_count,
-  round(sum(coalesce(score, 0)) / count(*), 6) AS avg_score,
-  round(CASE WHEN count(score) > 0 THEN greatest(max(score), 0) END, 6) AS max_score
+  round(sum(coalesce(score, 0)) / count(*), 8) AS avg_score,
+  round(CASE WHEN count(score) > 0 THEN greatest(max(score), 0) END, 8) AS max_score
 """
 
 
@@ -56,8 +56,9 @@ def _frequency(spark, sf, keys=()):
 
 
 def _rounded(df, *cols):
+    """Means of doubles to 8 digits; ratios of whole numbers are exact in both engines and stay."""
     for c in cols:
-        df = df.withColumn(c, r6(c))
+        df = df.withColumn(c, F.round(c, 8))
     return df
 
 
@@ -79,11 +80,11 @@ def label_topk(spark, sf):
     "label_cloud_weights",
     _ITEMS
     + """freq AS (SELECT label, count(*) AS n FROM items GROUP BY label)
-SELECT label, n AS "count", round(n / (SELECT max(n) FROM freq), 6) AS weight
+SELECT label, n AS "count", n / (SELECT max(n) FROM freq) AS weight
 FROM freq ORDER BY n DESC, label LIMIT 100""",
 )
 def label_cloud_weights(spark, sf):
-    return _rounded(labels.cloud_weights(_frequency(spark, sf)), "weight")
+    return labels.cloud_weights(_frequency(spark, sf))
 
 
 _SETS = """
@@ -103,8 +104,8 @@ pairs AS (
 """
 _STATS = """
 stats AS (
-  SELECT label_a, label_b, co_occurrence, round(co_occurrence / a.images, 6) AS p_b_given_a,
-         round(co_occurrence / b.images, 6) AS p_a_given_b
+  SELECT label_a, label_b, co_occurrence, co_occurrence / a.images AS p_b_given_a,
+         co_occurrence / b.images AS p_a_given_b
   FROM pairs JOIN counts a ON a.label = label_a JOIN counts b ON b.label = label_b)
 """
 
@@ -149,8 +150,7 @@ def min_support_filter(spark, sf):
 
 def _stats(spark, sf):
     sets = _sets(spark, sf)
-    stats = labels.pair_stats(labels.label_pairs(sets), labels.label_image_counts(sets))
-    return _rounded(stats, "p_b_given_a", "p_a_given_b")
+    return labels.pair_stats(labels.label_pairs(sets), labels.label_image_counts(sets))
 
 
 @query("pair_stats", _SETS0 + _PAIRS + _STATS + "SELECT * FROM stats")
@@ -221,12 +221,12 @@ def color_tone(spark, sf):
     return colors.with_tone(_colors(spark, sf)).drop("topic")
 
 
-_DIST = """SELECT tone, count(*) AS "count", round(count(*) / (SELECT count(*) FROM tones), 6) AS fraction
+_DIST = """SELECT tone, count(*) AS "count", count(*) / (SELECT count(*) FROM tones) AS fraction
 FROM tones GROUP BY tone"""
 
 
 def _tones(spark, sf, keys=()):
-    return _rounded(colors.tone_distribution(colors.with_tone(_colors(spark, sf)), keys), "fraction")
+    return colors.tone_distribution(colors.with_tone(_colors(spark, sf)), keys)
 
 
 @query("tone_distribution", _RGB + _TONE + _DIST)
@@ -271,10 +271,10 @@ pairs AS (SELECT a.topic, a.label AS label_a, b.label AS label_b, count(*) AS n
     + """
 SELECT topic, 'label' AS kind, label AS name, '' AS other, "count" AS n, avg_score AS value FROM freq
 UNION ALL
-SELECT pairs.topic, 'pair', label_a, label_b, n, round(n / images, 6)
+SELECT pairs.topic, 'pair', label_a, label_b, n, n / images
 FROM pairs JOIN counts ON counts.topic = pairs.topic AND counts.label = label_a
 UNION ALL
-SELECT topic, 'tone', tone, '', count(*), round(count(*) / sum(count(*)) OVER (PARTITION BY topic), 6)
+SELECT topic, 'tone', tone, '', count(*), count(*) / sum(count(*)) OVER (PARTITION BY topic)
 FROM tones GROUP BY topic, tone""",
 )
 def per_topic_analytics(spark, sf):
@@ -285,11 +285,11 @@ def per_topic_analytics(spark, sf):
     def shaped(df, kind, name, other, n, value):
         return df.select(
             F.col("topic").cast("bigint").alias("topic"), F.lit(kind).alias("kind"), name.alias("name"),
-            other.alias("other"), n.alias("n"), r6(value).alias("value"),
+            other.alias("other"), n.alias("n"), value.alias("value"),
         )
 
     return (
-        shaped(freq, "label", F.col("label"), F.lit(""), F.col("count"), F.col("avg_score"))
+        shaped(freq, "label", F.col("label"), F.lit(""), F.col("count"), F.round("avg_score", 8))
         .unionByName(
             shaped(stats, "pair", F.col("label_a"), F.col("label_b"), F.col("co_occurrence"), F.col("p_b_given_a"))
         )
