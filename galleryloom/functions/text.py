@@ -51,9 +51,9 @@ def tokenize_basic(c: str | Column, shortest: int = 3, longest: int = 30, digits
 
 
 def remove_stopwords(tokens: str | Column, stopwords: list[str] | None = None) -> Column:
-    """Drop stop words; order and repeats stay."""
-    words = F.create_map(*[F.lit(x) for w in (stopwords or ENGLISH_STOPWORDS) for x in (w, True)])
-    return F.filter(_col(tokens), lambda t: ~F.map_contains_key(words, t))
+    """Drop stop words; order and repeats stay. The literal list becomes a hash set in the plan."""
+    words = stopwords or ENGLISH_STOPWORDS
+    return F.filter(_col(tokens), lambda t: ~t.isin(*words))
 
 
 def split_whitespace(c: str | Column) -> Column:

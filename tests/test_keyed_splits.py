@@ -126,7 +126,7 @@ def test_topic_ids_and_given_probabilities(spark):
 
 def test_labels_sort_as_text(spark):
     df = spark.createDataFrame([(10,), (2,), (1,), (10,)], "label int")
-    assert {r.label: r.index for r in features.label_index(df, "label").collect()} == {"1": 0, "10": 1, "2": 2}
+    assert {r["label"]: r["index"] for r in features.label_index(df, "label").collect()} == {"1": 0, "10": 1, "2": 2}
 
 
 def test_metrics_with_a_class_never_true(spark):

@@ -13,6 +13,7 @@ from galleryloom.functions.text import (
     tokenize_basic,
 )
 from galleryloom.operators import text as ops
+from galleryloom.operators.keyed import place_by_key
 from galleryloom.plans.clean import base_tokens, clean_texts
 from workload import fixtures as fx
 
@@ -94,7 +95,8 @@ def _docs(spark, sf):
 
 
 def content_tokens(spark, sf):
-    return base_tokens(_docs(spark, sf), "description", "doc_id")
+    """Content tokens; the single test file is spread out first, a large table has splits enough."""
+    return base_tokens(place_by_key(_docs(spark, sf), "doc_id"), "description", "doc_id")
 
 
 def _joined(df):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from galleryloom.functions.text import word_tokens
 from galleryloom.operators import topics as tp
+from galleryloom.operators.keyed import place_by_key
 from workload import fixtures as fx
 from workload.tables import PROBS_SQL, topic_proportions
 from workload.text import TOKS, content_tokens
@@ -56,9 +57,10 @@ def doc_to_bow(spark, sf):
 
 def topic_docs(spark, sf):
     """documents with a topic; -1 is the noise topic."""
-    return fx.table(spark, sf, "documents").select(
+    docs = fx.table(spark, sf, "documents").select(
         F.col("doc_id").alias("key"), "text", (F.pmod("doc_id", F.lit(9)) - 1).cast("int").alias("topic")
     )
+    return place_by_key(docs, "key")
 
 
 _CTFIDF = r"""WITH tdocs AS (SELECT doc_id AS key, CAST(doc_id % 9 - 1 AS INTEGER) AS topic,
