@@ -18,28 +18,41 @@ from galleryloom.functions.color import (
 COLOR_PATHS = ("image_properties.dominant_colors[0]", "imagePropertiesAnnotation.dominantColors.colors[0]")
 
 
-def top_colors(docs: DataFrame, document: str = "document", keep: tuple[str, ...] = ()) -> DataFrame:
-    """First dominant colour per document; documents without one are left out.
-
-    An entry without `color`, or with missing channels, counts as zero; other shapes are skipped.
-    Done in steps so that each VARIANT access is evaluated once.
-    """
-    entries = docs.select(*keep, *[field(document, p, "variant").alias(f"_e{i}") for i, p in enumerate(COLOR_PATHS)])
+def _first_entries(docs: DataFrame, document: str, columns: list[str]) -> DataFrame:
+    """`columns` and `_entry`, the first usable colour entry of a document or NULL."""
+    entries = docs.select(
+        *columns, *[field(document, p, "variant").alias(f"_e{i}") for i, p in enumerate(COLOR_PATHS)]
+    )
 
     def usable(entry: str):
         color = member(F.col(entry), "color", "variant")
         return is_object(F.col(entry)) & (color.isNull() | F.schema_of_variant(color).rlike("^(OBJECT|VOID)"))
 
     first = F.when(usable("_e0"), F.col("_e0")).when(usable("_e1"), F.col("_e1"))
+    return entries.select(*columns, first.alias("_entry"))
 
-    def channel(name: str):
-        return F.coalesce(member(F.col("_entry"), f"color.{name}", "double"), F.lit(0.0)).cast("int").alias(name)
 
-    return (
-        entries.select(*keep, first.alias("_entry"))
-        .where(F.col("_entry").isNotNull())
-        .select(*keep, channel("red"), channel("green"), channel("blue"))
-    )
+def _channels() -> list:
+    return [
+        F.coalesce(member(F.col("_entry"), f"color.{name}", "double"), F.lit(0.0)).cast("int").alias(name)
+        for name in ("red", "green", "blue")
+    ]
+
+
+def top_colors(docs: DataFrame, document: str = "document", keep: tuple[str, ...] = ()) -> DataFrame:
+    """First dominant colour per document; documents without one are left out.
+
+    An entry without `color`, or with missing channels, counts as zero; other shapes are skipped.
+    Done in steps so that each VARIANT access is evaluated once.
+    """
+    found = _first_entries(docs, document, list(keep)).where(F.col("_entry").isNotNull())
+    return found.select(*keep, *_channels())
+
+
+def with_top_color(docs: DataFrame, document: str = "document") -> DataFrame:
+    """All documents with `rgb`, NULL without a colour."""
+    entries = _first_entries(docs, document, docs.columns)
+    return entries.select(*docs.columns, F.when(F.col("_entry").isNotNull(), F.struct(*_channels())).alias("rgb"))
 
 
 def with_tone(colors: DataFrame) -> DataFrame:

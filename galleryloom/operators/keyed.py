@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from galleryloom.session import materialize
 
-# A lookup of at most this many rows (short keys, a few numbers) is broadcast, after counting it.
+# A lookup is broadcast when measured at or below both bounds.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 128 << 20
 # A key is hot when it holds more than 1/HOT_KEYS of the load, so fewer than HOT_KEYS keys can be hot.
 HOT_KEYS = 4096
 SALTS = 64
@@ -16,6 +17,15 @@ HASH_BUCKET_DIGITS = 4
 CARRY_BLOCK = 4096
 
 
+def fits_broadcast(lookup: DataFrame) -> bool:
+    """True when rows and bytes (as JSON text, an upper estimate) stay within the bounds."""
+    width = F.length(F.to_json(F.struct(*lookup.columns)))
+    rows, size = (
+        lookup.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    )
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def join_lookup(
     left: DataFrame,
     lookup: DataFrame,
@@ -26,11 +36,11 @@ def join_lookup(
 ) -> DataFrame:
     """Join a large table to a lookup with unique keys, whatever the size of the lookup.
 
-    A lookup counted at or below BROADCAST_ROWS is broadcast. Beyond that, when the lookup carries the
+    A lookup measured at or below BROADCAST_ROWS and BROADCAST_BYTES is broadcast. Beyond that, when the lookup carries the
     number of left rows per key (`load`), the hot keys are salted by `spread`: fewer than HOT_KEYS keys
     can be hot, so that list is bounded and safe to broadcast. Pass a materialised lookup.
     """
-    if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits_broadcast(lookup):
         return left.join(F.broadcast(lookup), key, how)
     if load is None or spread is None or not isinstance(key, str):
         return left.join(lookup, key, how)
@@ -94,23 +104,6 @@ def hash_cutoff(df: DataFrame, key: str, quotas: DataFrame, strata: list[str]) -
     )
 
 
-def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Number the rows 0..n-1 by hash bucket and key, without ranking everything in one task.
-
-    `key` must be unique. The window over buckets has at most 16^3 rows.
-    """
-    bucketed = df.withColumn("_bucket", F.substring(F.md5(key), 1, 3))
-    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(key)
-    return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
-        .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_bucket", "_offset")
-    )
-
-
 def carry_forward(
     df: DataFrame, group: list[str], line: str, value: str, out: str, inclusive: bool = True
 ) -> DataFrame:

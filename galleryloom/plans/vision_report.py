@@ -16,18 +16,20 @@ def vision_report(docs: DataFrame, doc_key: str, keys: tuple[str, ...] = (), thr
     The documents are parsed once; the small typed projection is written and feeds all three.
     """
     facts = materialize(
-        docs.select(
+        colors.with_top_color(docs).select(
             doc_key,
             *keys,
             field("document", "image_name", "string").alias("image_name"),
             label_items("document").alias("items"),
             label_set("document", threshold).alias("labels"),
+            "rgb",
         ),
         "label-facts",
     )
     occurrences = facts.select(*keys, "image_name", F.inline("items"))
     sets = facts.select(doc_key, *keys, "labels")
-    tones = colors.with_tone(colors.top_colors(docs, keep=keys))
+    colored = facts.where(F.col("rgb").isNotNull()).select(*keys, "rgb.red", "rgb.green", "rgb.blue")
+    tones = colors.with_tone(colored)
     return {
         "labels": labels.label_frequency(occurrences, keys),
         "pairs": labels.pair_stats(labels.label_pairs(sets, keys), labels.label_image_counts(sets, keys), keys),

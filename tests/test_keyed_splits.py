@@ -27,11 +27,6 @@ def test_salted_lookup_join(spark, monkeypatch, how):
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
 
 
-def test_dense_index_is_a_numbering(spark):
-    df = spark.createDataFrame([(f"t{i}",) for i in range(500)], "t string")
-    assert sorted(r.i for r in keyed.dense_index(df, "t", "i").collect()) == list(range(500))
-
-
 def test_carry_forward_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(keyed, "CARRY_BLOCK", 4)
     rng = random.Random(1)
