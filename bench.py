@@ -12,7 +12,7 @@ from galleryloom.session import build_session
 from workload import QUERIES
 
 HEADLINE = [
-    "label_frequency", "label_pairs", "clean_pipeline", "phrase_bigrams", "tfidf_word", "tfidf_char", "chi2_scores",
+    "label_frequency", "label_pairs", "clean_texts", "phrase_bigrams", "tfidf_word", "tfidf_char", "chi2_scores",
     "ctfidf_keywords", "stratified_split", "train_linear_svc",
 ]
 

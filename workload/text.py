@@ -196,7 +196,7 @@ def rejoin_text(spark, sf):
 
 
 @query(
-    "clean_pipeline",
+    "clean_texts",
     TOKS
     + phrases_sql("toks", "pairs", 5)
     + merge_sql("toks", "pairs", "merged")
@@ -206,7 +206,7 @@ def rejoin_text(spark, sf):
     + df_filter_sql("lemmas", "kept")
     + rejoined_sql("kept"),
 )
-def clean_pipeline(spark, sf):
+def clean_all(spark, sf):
     docs = _docs(spark, sf)
     cleaned = clean_texts(docs, "description", "doc_id", lexicon=lexicon(content_tokens(spark, sf)))
     return cleaned.select("key", "cleaned_text")
