@@ -1,8 +1,8 @@
 """All queries of the training-data operators and the SQL that checks them."""
 
-from galleryloom.llm import simhash
+from galleryloom.llm import decontaminate, langid, quality, simhash
 
-MODULES = (simhash,)
+MODULES = (langid, decontaminate, simhash, quality)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
