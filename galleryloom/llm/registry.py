@@ -1,8 +1,8 @@
 """All queries of the training-data operators and the SQL that checks them."""
 
-from galleryloom.llm import bpe, decontaminate, langid, quality, simhash
+from galleryloom.llm import bpe, decontaminate, langid, quality, shuffle, simhash, warc
 
-MODULES = (bpe, langid, decontaminate, simhash, quality)
+MODULES = (bpe, langid, decontaminate, simhash, quality, shuffle, warc)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
