@@ -1,11 +1,15 @@
 """All queries of the training-data operators and the SQL that checks them."""
 
-from galleryloom.llm import bpe, decontaminate, langid, quality, shuffle, simhash, warc
+import corpus_pipeline
+from galleryloom.llm import bpe, decontaminate, langid, neighbours, quality, secrets, shuffle, simhash, urlfilter, warc
 
-MODULES = (bpe, langid, decontaminate, simhash, quality, shuffle, warc)
+MODULES = (neighbours, bpe, langid, urlfilter, decontaminate, simhash, secrets, quality, shuffle, warc)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
