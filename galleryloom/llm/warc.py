@@ -220,7 +220,7 @@ def transactions(records: DataFrame) -> DataFrame:
 
 def op10_warc(spark, sf_dir):
     captures = transactions(read_warc(spark, write_warc(table(spark, sf_dir, "pages"))))
-    page = lambda name: F.nullif(F.regexp_extract(name, "^urn:x-page:(-?[0-9]*)", 1), F.lit("")).cast("long")
+    page = lambda name: F.regexp_extract(name, "^urn:x-page:(-?[0-9]*)", 1).try_cast("long")
     return captures.select(
         page("capture_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), page("response.refers_to").alias("refers_to"),
