@@ -111,9 +111,11 @@ def _fold_table() -> tuple[str, str]:
 
 
 _ACCENTED, _PLAIN = _fold_table()
+# translate() deletes what has no counterpart: combining marks stand at the end.
+_ACCENTED += "".join(chr(c) for c in range(0x0300, 0x0370) if unicodedata.combining(chr(c)))
 # Characters the table settles: ASCII, its own entries, and Latin characters that fold to themselves.
 _SETTLED = "".join(
-    chr(c) for c in [*range(0x00A0, 0x0250), *range(0x1E00, 0x1F00)] if len(_fold(chr(c))) == 1
+    chr(c) for c in [*range(0x00A0, 0x0250), *range(0x0300, 0x0370), *range(0x1E00, 0x1F00)] if len(_fold(chr(c))) <= 1
 )
 
 

@@ -114,7 +114,7 @@ def dominant_columns(df: DataFrame) -> tuple[Column, Column]:
 def map_major_topic(labels: DataFrame, inverted: DataFrame, topic: str = "topic_raw") -> DataFrame:
     """Add new_topic_num: the major of the raw topic, -1 without one."""
     lookup = checked_lookup(inverted.select(F.col("small").alias(topic), "major"), "topic-map")
-    mapped = join_lookup(labels, lookup, topic, "left")
+    mapped = join_lookup(labels, lookup, topic, "left", spread=labels.columns[0])
     return mapped.withColumn("new_topic_num", F.coalesce("major", F.lit(UNMAPPED))).drop("major")
 
 

@@ -115,20 +115,19 @@ def sparse_projection(
     D x components / sqrt(D) non-zero cells are made once per vocabulary term.
     """
     size = vocabulary.agg(F.count(F.lit(1)).cast("double")).scalar()
-    cell = F.concat_ws("|", F.lit(str(seed)), "term", F.col("component").cast("string"))
-    uniform = F.conv(F.substring(F.md5(cell), 1, 8), 16, 10).cast("double") / float(2**32)
     half = F.lit(0.5).cast("double") / F.col("_root")
     scale = F.sqrt(F.col("_root") / float(components))
-    matrix = (
-        vocabulary.select("term", "df", F.sqrt(size).alias("_root"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(components - 1))).alias("component"))
-        .withColumn("_u", uniform)
-        .where(F.col("_u") < half * 2.0)
-        .select("term", "df", F.struct("component", F.when(F.col("_u") < half, -scale).otherwise(scale).alias("r")).alias("cell"))
-        .groupBy("term", "df")
-        .agg(F.collect_list("cell").alias("cells"))
-    )
-    matrix = checked_lookup(matrix, "projection")
+
+    def drawn(component: Column) -> Column:
+        cell = F.concat_ws("|", F.lit(str(seed)), "term", component.cast("string"))
+        uniform = F.conv(F.substring(F.md5(cell), 1, 8), 16, 10).cast("double") / float(2**32)
+        return F.struct(component.alias("component"), uniform.alias("u"))
+
+    rooted = vocabulary.select("term", "df", F.sqrt(size).alias("_root"))
+    drawn_cells = F.transform(F.sequence(F.lit(0), F.lit(components - 1)), drawn)
+    used = F.filter(drawn_cells, lambda c: c["u"] < half * 2.0)
+    signed = F.transform(used, lambda c: F.struct(c["component"].alias("component"), F.when(c["u"] < half, -scale).otherwise(scale).alias("r")))
+    matrix = checked_lookup(rooted.select("term", "df", signed.alias("cells")).where(F.size("cells") > 0), "projection")
     placed = join_lookup(weights, matrix, "term", load="df", spread="key")
     return (
         placed.select("key", "weight", F.inline("cells"))
@@ -156,7 +155,7 @@ def chi2_scores(weights: DataFrame, classes: DataFrame, label: str) -> DataFrame
     shares = classes.select(label, (F.col("n") / rows).alias("_share"))
     observed = weights.groupBy("term", label).agg(F.sum("weight").alias("_o"))
     return (
-        observed.join(shares, label)
+        join_lookup(observed, checked_lookup(shares, "class-shares"), label, spread="term")
         .groupBy("term")
         .agg(F.sum("_o").alias("_total"), F.sum(F.col("_o") * F.col("_o") / F.col("_share")).alias("_q"))
         .select("term", (F.col("_q") / F.col("_total") - F.col("_total")).alias("chi2"))
@@ -170,7 +169,7 @@ def select_k_best(scores: DataFrame, k: int = SELECTED_FEATURES) -> DataFrame:
 
 def keep_selected(weights: DataFrame, selected: DataFrame) -> DataFrame:
     """Only the selected terms; at most k of them, so the list is broadcast."""
-    return join_lookup(weights, selected.select("term"), "term", "left_semi")
+    return join_lookup(weights, selected.select("term"), "term", "left_semi", spread="key")
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:

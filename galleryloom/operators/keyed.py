@@ -19,7 +19,7 @@ CARRY_BLOCK = 4096
 
 def fits_broadcast(lookup: DataFrame) -> bool:
     """True when rows and bytes (as JSON text, an upper estimate) stay within the bounds."""
-    width = F.length(F.to_json(F.struct(*lookup.columns)))
+    width = F.octet_length(F.to_json(F.struct(*lookup.columns)))
     rows, size = (
         lookup.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     )
@@ -33,27 +33,33 @@ def join_lookup(
     how: str = "inner",
     load: str | None = None,
     spread: str | None = None,
+    all_keys: bool = False,
 ) -> DataFrame:
     """Join a large table to a lookup with unique keys, whatever the size of the lookup.
 
     A lookup measured at or below BROADCAST_ROWS and BROADCAST_BYTES is broadcast. Beyond that, when the lookup carries the
     number of left rows per key (`load`), the hot keys are salted by `spread`: fewer than HOT_KEYS keys
-    can be hot, so that list is bounded and safe to broadcast. Pass a materialised lookup.
+    can be hot, so that list is bounded and safe to broadcast. Without `load`, or when left rows may have
+    hot keys that the lookup lacks (`all_keys`), the left keys are counted. NULL keys are spread as hot ones are. Pass a
+    materialised lookup.
     """
     if fits_broadcast(lookup):
         return left.join(F.broadcast(lookup), key, how)
-    if load is None or spread is None or not isinstance(key, str):
-        return left.join(lookup, key, how)
-    total = lookup.agg(F.sum(load)).scalar()
-    hot = F.col(load) * HOT_KEYS > total
-    hot_keys = lookup.where(hot).select(key, F.lit(True).alias("_hot"))
-    salted_left = left.join(F.broadcast(hot_keys), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),
-    )
-    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_lookup = lookup.withColumn("_salt", F.explode(salts))
-    return salted_left.join(salted_lookup, [key, "_salt"], how).drop("_salt", "_hot")
+    if spread is None:
+        raise ValueError("a lookup beyond the broadcast bounds needs a column to spread its hot keys by")
+    keys = [key] if isinstance(key, str) else list(key)
+    if load is None or all_keys:
+        counted, load = materialize(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_load")), "key-load"), "_load"
+    else:
+        counted = lookup.select(*keys, load)
+    total = counted.agg(F.sum(load)).scalar()
+    hot_keys = F.broadcast(counted.where(F.col(load) * HOT_KEYS > total).select(*keys, F.lit(True).alias("_hot")))
+    missing = F.array_contains(F.array(*[F.col(k).isNull() for k in keys]), True)
+    salt = F.when(F.coalesce("_hot", missing), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salted_left = left.join(hot_keys, keys, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted_lookup = lookup.join(hot_keys, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted_left.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], copies: str | None = None) -> DataFrame:
@@ -91,7 +97,7 @@ def hash_cutoff(df: DataFrame, key: str, quotas: DataFrame, strata: list[str]) -
     ).select(*strata, "_prefix", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_rank"))
     rows = df.select(*strata, key, prefix.alias("_prefix"))
     if strata:
-        candidates = join_lookup(rows, checked_lookup(boundary, "boundaries"), [*strata, "_prefix"])
+        candidates = join_lookup(rows, checked_lookup(boundary, "boundaries"), [*strata, "_prefix"], spread=key)
     else:
         candidates = rows.where(F.col("_prefix") == boundary.select("_prefix").scalar()).withColumn(
             "_rank", boundary.select("_rank").scalar()

@@ -34,9 +34,11 @@ from galleryloom.operators import topics as tp
 from galleryloom.operators.keyed import checked_lookup, hash_key, join_lookup
 from galleryloom.session import materialize
 
-# An unlimited vocabulary at the model boundary; weights of this many features still fit a model.
+# Weights of this many features still fit a model; a larger vocabulary without max_features is an error.
 VOCABULARY_SIZE = 1 << 24
 VALIDATION_FRACTION = 0.1
+# Fixed value: best words of a topic that its coherence is taken over.
+COHERENCE_TERMS = 20
 
 
 # ---------------------------------------------------------------- vectors
@@ -99,6 +101,10 @@ def fit_text_features(
         )
         # The library reads 1.0 as one document, not as all of them.
         counter = (counter if family.max_df >= 1.0 else counter.setMaxDF(family.max_df)).fit(terms)
+        if family.max_features is None and len(counter.vocabulary) >= VOCABULARY_SIZE:
+            raise ValueError(
+                f"more than {VOCABULARY_SIZE} terms: a vector model cannot hold them all; give the family max_features or a higher min_df"
+            )
         idf = IDF(inputCol=f"_counts{i}", outputCol="_idf").fit(counter.transform(terms)).idf
         weigh = ElementwiseProduct(
             scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol=f"_counts{i}", outputCol=f"_weighted{i}"
@@ -118,7 +124,7 @@ def label_indexer(train: DataFrame, label: str) -> Model:
 
 def with_class_weight(train: DataFrame, label: str) -> DataFrame:
     weights = checked_lookup(ft.class_weights(train, label).select(label, "weight"), "class-weights")
-    return join_lookup(train, weights, label)
+    return join_lookup(train, weights, label, spread="key")
 
 
 def vectors_from_long(docs: DataFrame, cells: DataFrame, size: int, key: str = "key") -> DataFrame:
@@ -309,28 +315,30 @@ class TopicModel:
 
 
 def fit_dictionary(docs: DataFrame, no_below: int = 5, no_above: float = 0.5, keep_n: int = 100_000) -> CountVectorizerModel:
-    return CountVectorizer(
-        inputCol="tokens", outputCol="features", minDF=no_below, maxDF=no_above, vocabSize=keep_n
-    ).fit(docs)
+    """The dictionary of the topic operators (ranked by document count) as a vectoriser."""
+    terms = tp.dictionary(docs, no_below, no_above, keep_n).orderBy("term_id").select("term").collect()
+    return CountVectorizerModel.from_vocabulary([r.term for r in terms], inputCol="tokens", outputCol="features")
 
 
 def lda_train(
     docs: DataFrame,
     k: int,
     passes: int = 10,
-    chunk: int = 2000,
+    share: float = 0.2,
     seed: int = 42,
     counter: CountVectorizerModel | None = None,
 ) -> TopicModel:
-    """Online variational LDA over (key, tokens); one pass visits every document once on average."""
+    """Online variational LDA over (key, tokens); one pass visits every document once on average.
+
+    Each update sees a fixed share of the documents, so the number of updates does not grow with them.
+    """
     counter = counter or fit_dictionary(docs)
-    rows = docs.count()
+    vectors = materialize(counter.transform(docs).select("features"), "lda-vectors")
     lda = LDA(
-        k=k, optimizer="online", seed=seed, featuresCol="features", subsamplingRate=min(1.0, chunk / max(rows, 1)),
-        maxIter=passes * max(1, math.ceil(rows / chunk)), optimizeDocConcentration=False,
-        docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,
+        k=k, optimizer="online", seed=seed, featuresCol="features", subsamplingRate=share, maxIter=math.ceil(passes / share),
+        learningOffset=1.0, learningDecay=0.5, optimizeDocConcentration=False, docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,
     )
-    return TopicModel(counter, lda.fit(counter.transform(docs)))
+    return TopicModel(counter, lda.fit(vectors))
 
 
 def choose_best_k(docs: DataFrame, ks: list[int], passes: int = 10, seed: int = 42) -> tuple[DataFrame, TopicModel]:
@@ -340,7 +348,7 @@ def choose_best_k(docs: DataFrame, ks: list[int], passes: int = 10, seed: int =
     results, best = [], None
     for k in ks:
         model = lda_train(docs, k, passes, seed=seed, counter=counter)
-        coherence = tp.topic_coherence(docs, model.top_terms()).agg(F.avg("coherence")).first()[0]
+        coherence = tp.topic_coherence(docs, model.top_terms(COHERENCE_TERMS)).agg(F.avg("coherence")).first()[0]
         results.append((k, coherence))
         if best is None or coherence > best[0]:
             best = (coherence, model)

@@ -57,7 +57,7 @@ def stratified_split(
     marked = _marked(df, key, seed)
     quotas = class_quotas(df, label, fraction).select(label, "quota")
     cutoffs = checked_lookup(hash_cutoff(marked.select(label, "_h"), "_h", quotas, [label]), "cutoffs")
-    joined = join_lookup(marked, cutoffs, label, "left")
+    joined = join_lookup(marked, cutoffs, label, "left", spread=key)
     return joined.withColumn("split", F.when(F.col("_h") <= F.col("cutoff"), "test").otherwise("train")).drop(
         "_h", "cutoff"
     )

@@ -97,11 +97,9 @@ def ctfidf_weights(docs: DataFrame, text: str = "text", topic: str = "topic") ->
         F.sum("n").alias("_total"), F.collect_list(F.struct(topic, "n")).alias("_rows")
     )
     idf = F.log(F.lit(1.0) + mean / F.col("_total"))
-    return (
-        per_term.select("term", idf.alias("idf"), F.inline("_rows"))
-        .join(sizes, topic)
-        .select(topic, "term", "idf", (F.col("n") / F.col("_size") * F.col("idf")).alias("weight"))
-    )
+    rows = per_term.select("term", idf.alias("idf"), F.inline("_rows"))
+    sized = join_lookup(rows, checked_lookup(sizes, "topic-sizes"), topic, spread="term")
+    return sized.select(topic, "term", "idf", (F.col("n") / F.col("_size") * F.col("idf")).alias("weight"))
 
 
 def ctfidf_keywords(weights: DataFrame, k: int = 10, topic: str = "topic") -> DataFrame:
@@ -132,7 +130,7 @@ def relabel_by_size(assigned: DataFrame, cluster: str, distance: str, quantile:
     )
     # One row per cluster reaches this window.
     ranked = stats.withColumn("_topic", F.row_number().over(Window.orderBy(F.desc("_n"), cluster)) - 1)
-    joined = join_lookup(assigned, checked_lookup(ranked, "clusters"), cluster)
+    joined = join_lookup(assigned, checked_lookup(ranked, "clusters"), cluster, spread=distance)
     topic = F.when(F.col(distance) > F.col("_limit"), NOISE).otherwise(F.col("_topic"))
     return joined.withColumn("topic", topic).drop("_n", "_limit", "_topic")
 
@@ -161,7 +159,7 @@ def topic_coherence(docs: DataFrame, top: DataFrame, window: int = COHERENCE_WIN
         place_by_key(docs.select(key, "tokens"), key)
         .select(key, F.size("tokens").alias("n"), F.posexplode_outer("tokens").alias("pos", "token"))
     )
-    hits = join_lookup(rows, members, "token")
+    hits = join_lookup(rows, members, "token", spread=key)
     last_start = F.greatest(F.col("n") - window, F.lit(0))
     per_doc = hits.groupBy(key).agg((F.first(last_start) + 1).cast("bigint").alias("windows"))
     ranges = hits.select(
@@ -243,7 +241,7 @@ def approx_topic_distribution(
     last_window = F.least(F.floor(F.col("pos") / stride).cast("int"), last)
     placed = rows.select(key, "n", "term", F.explode_outer(F.sequence(first_window, last_window)).alias("w"))
     counts = placed.groupBy(key, "n", "w", "term").agg(F.count(F.lit(1)).alias("c"))
-    known = join_lookup(counts, lookup, "term").withColumn("x", F.col("c") * F.col("idf"))
+    known = join_lookup(counts, lookup, "term", spread=key).withColumn("x", F.col("c") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key, "w")))
     scored = (
         known.withColumn("length", length)

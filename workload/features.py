@@ -134,16 +134,12 @@ def fold(spark, sf):
     return fx.descriptions(spark, sf).select("doc_id", fold_accents(F.lower("description"), full=True).alias("folded"))
 
 
-_FEW = 3000
-
-
 @query(
     "max_features",
-    _CORPUS + words_sql() + tfidf_sql("w", 20, 0.9, _FEW) + _TOTALS.format(p="w"),
+    _CORPUS + words_sql() + tfidf_sql("w", 20, 0.9, ft.LIMITED_WORDS.max_features) + _TOTALS.format(p="w"),
 )
 def max_features(spark, sf):
-    family = ft.Family("w:", "word", 1, 2, min_df=20, max_df=0.9, max_features=_FEW)
-    _, parts = vectorised(spark, sf, family)
+    _, parts = vectorised(spark, sf, ft.LIMITED_WORDS)
     return _totals(*parts["w:"])
 
 
@@ -176,16 +172,20 @@ def stack_features(spark, sf):
     )
 
 
-@query(
-    "sparse_projection",
-    _CORPUS
-    + _W
-    + """,
+PROJECTION = """,
 size AS (SELECT sqrt(CAST(count(*) AS DOUBLE)) AS root FROM w_vocab),
 cells AS (SELECT term, c AS component, CAST(('0x' || substr(md5('42|' || term || '|' || c), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u
   FROM w_vocab, (SELECT unnest(range(256)) AS c)),
 matrix AS (SELECT term, component, CASE WHEN u < CAST(0.5 AS DOUBLE) / root THEN -1 ELSE 1 END * sqrt(root / 256) AS r
-  FROM cells, size WHERE u < CAST(1 AS DOUBLE) / root)
+  FROM cells, size WHERE u < CAST(1 AS DOUBLE) / root)"""
+
+
+@query(
+    "sparse_projection",
+    _CORPUS
+    + _W
+    + PROJECTION
+    + """
 SELECT key, CAST(component AS INTEGER) AS component, round(sum(weight * r), 6) + 0 AS value
 FROM w_w JOIN matrix ON matrix.term = w_w.term GROUP BY ALL""",
 )

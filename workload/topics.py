@@ -33,14 +33,14 @@ _DICT = (
     + """,
 found AS (SELECT tok AS term, count(DISTINCT k) AS df FROM toks GROUP BY tok),
 kept AS (SELECT term, df FROM found WHERE df >= 5 AND df <= CAST(0.5 AS DOUBLE) * (SELECT count(*) FROM docs)
-  ORDER BY df DESC, term LIMIT 2000),
+  ORDER BY df DESC, term LIMIT 100000),
 dict AS (SELECT term, df, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS term_id FROM kept)"""
 )
 
 
 @query("dictionary_filter", _DICT + " SELECT term, df, term_id FROM dict")
 def dictionary_filter(spark, sf):
-    return tp.dictionary(content_tokens(spark, sf), keep_n=2000)
+    return tp.dictionary(content_tokens(spark, sf))
 
 
 @query(
@@ -49,7 +49,7 @@ def dictionary_filter(spark, sf):
 )
 def doc_to_bow(spark, sf):
     tokens = content_tokens(spark, sf)
-    return tp.doc_to_bow(tokens, tp.dictionary(tokens, keep_n=2000))
+    return tp.doc_to_bow(tokens, tp.dictionary(tokens))
 
 
 # ---------------------------------------------------------------- class TF-IDF
