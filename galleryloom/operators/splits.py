@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galleryloom.operators.keyed import checked_lookup, hash_cutoff, hash_key, join_lookup
+from galleryloom.operators.keyed import checked_lookup, first_per_key, hash_cutoff, hash_key, join_lookup
 
 TEST_FRACTION = 0.2
 HELD_FRACTION = 0.20
@@ -86,8 +86,11 @@ def three_way_split(
 ) -> DataFrame:
     """Add `split`: a held-out share, of which a part is `test` and the rest `val`; others `train`.
 
+    Rows are reduced to one per key first, so that repeats do not count in the shares.
     The default fractions give 80 / 8.9 / 11.1 % for train / val / test.
     """
+    rest = [c for c in df.columns if c != key]
+    df = first_per_key(df, [key], rest) if rest else df.distinct()
     marked = _marked(df, key, seed)
     n_held = _ceil_share(F.count(F.lit(1)), held)
     hashes = marked.select("_h")

@@ -31,12 +31,12 @@ def csv_scan(
     schema: StructType | str | None = None,
     required: tuple[str, ...] = (),
     encoding: str = "UTF-8",
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header. Without a schema every column is text; nothing is inferred.
 
-    Quoted line breaks need `multi_line`, which reads each file in one task: keep the files of a
-    large table moderate, or switch it off where texts have no line breaks.
+    Files are split over tasks. Quoted line breaks need `multi_line`, which reads each file in one task:
+    keep the files of such a table moderate.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("encoding", encoding)
     reader = reader.option("multiLine", multi_line)

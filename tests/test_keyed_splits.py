@@ -135,3 +135,29 @@ def test_metrics_with_a_class_never_true(spark):
     assert [tuple(r) for r in wide] == [("a", 1, 0, 1), ("b", 1, 1, 0), ("x", 0, 0, 0)]
     params = evaluate.evaluation_report(spark.createDataFrame(rows, "true string, pred string"), {"c": 5}).where("scope = 'params'")
     assert params.first().text == "5"
+
+
+def test_hot_keys_beyond_the_broadcast_bound(spark, monkeypatch):
+    """One token holds half of the rows, another is hot but unknown to the lookup, a third of the keys is NULL."""
+    rows = [(i, "hot" if i % 2 else None if i % 3 == 0 else "unknown" if i % 5 else f"k{i}") for i in range(600)]
+    left = spark.createDataFrame(rows, "id int, k string")
+    lookup = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(600)]], "k string, v int")
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(tuple, left.join(lookup, "k", how).select("id", "k").collect()), key=repr)
+        monkeypatch.setattr(keyed, "BROADCAST_ROWS", 10)
+        monkeypatch.setattr(keyed, "HOT_KEYS", 20)
+        got = keyed.join_lookup(left, lookup, "k", how, spread="id", all_keys=True)
+        assert sorted(map(tuple, got.select("id", "k").collect()), key=repr) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" in plan
+        monkeypatch.undo()
+    with monkeypatch.context() as m:
+        m.setattr(keyed, "BROADCAST_ROWS", 10)
+        with pytest.raises(ValueError):
+            keyed.join_lookup(left, lookup, "k")
+
+
+def test_three_way_split_counts_an_image_once(spark):
+    once = images(spark, {"a": 900})
+    twice = split_of(splits.three_way_split(once.union(once.limit(300)), "image_name"))
+    assert twice == split_of(splits.three_way_split(once, "image_name"))

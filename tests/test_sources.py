@@ -12,7 +12,7 @@ def test_csv_round_trip_with_line_breaks_and_quotes(spark, tmp_path):
     rows = [("a", 'he said "x",\nthen left'), ("b", "plain"), ("c", None)]
     df = spark.createDataFrame(rows, "image_name string, description string")
     tables.csv_sink(df, str(tmp_path / "t"))
-    back = tables.csv_scan(spark, str(tmp_path / "t"), df.schema, required=("description",))
+    back = tables.csv_scan(spark, str(tmp_path / "t"), df.schema, required=("description",), multi_line=True)
     got = {r.image_name: r.description for r in back.collect()}
     assert got["a"] == rows[0][1] and got["b"] == "plain" and not got["c"]
     with pytest.raises(ValueError):

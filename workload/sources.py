@@ -38,18 +38,19 @@ def csv_scan(spark, sf):
     path = scratch_path(spark, "descriptions-csv")
     source = fx.descriptions(spark, sf).select(F.col("image_name").alias("Image Name"), "description")
     tables.csv_sink(source, path)
-    return _digest(tables.with_text_and_name(tables.csv_scan(spark, path, "`Image Name` string, description string")))
+    return _digest(tables.with_text_and_name(tables.csv_scan(spark, path, "`Image Name` string, description string", multi_line=True)))
 
 
-@query("csv_sink", "SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM embeddings")
+@query("csv_sink", """SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS components,
+  round(list_sum([CAST(x AS DOUBLE) for x in embedding]), 6) + 0 AS total FROM embeddings""")
 def csv_sink(spark, sf):
     path = scratch_path(spark, "embeddings-csv")
-    values = fx.table(spark, sf, "embeddings").select(
-        "vec_id", "label", F.col("embedding")[0].cast("double").alias("first_value")
-    )
+    values = fx.table(spark, sf, "embeddings").select("vec_id", "label", F.to_json("embedding").alias("embedding"))
     tables.csv_sink(values, path)
-    read = tables.csv_scan(spark, path, "vec_id bigint, label int, first_value double", multi_line=False)
-    return read.withColumn("first_value", F.round("first_value", 6))
+    read = tables.csv_scan(spark, path, "vec_id bigint, label int, embedding string")
+    vector = F.from_json("embedding", "array<float>")
+    total = F.aggregate(F.transform(vector, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return read.select("vec_id", "label", F.size(vector).alias("components"), (F.round(total, 6) + 0.0).alias("total"))
 
 
 _NUMERALS = "零一二三四五六七八九"

@@ -196,7 +196,7 @@ def rejoin_text(spark, sf):
 
 
 @query(
-    "clean_texts",
+    "clean_pipeline",
     TOKS
     + phrases_sql("toks", "pairs", 5)
     + merge_sql("toks", "pairs", "merged")
