@@ -227,5 +227,15 @@ def op10_warc(spark, sf_dir):
     )
 
 
+_FIVE = "CAST('0x' || substr(sha1(payload), 1 + 5 * g, 5) AS BIGINT)"
+_DIGITS = " || ".join(f"substr('{BASE32_DIGITS}', CAST(1 + (({_FIVE} >> {shift}) & 31) AS INTEGER), 1)" for shift in (15, 10, 5, 0))
+ORACLE = f"""WITH told AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+firsts AS (SELECT payload, min(page_id) AS first FROM told WHERE strlen(payload) >= {MIN_REVISIT_BYTES} GROUP BY payload)
+SELECT page_id, CAST(strlen(told.payload) AS BIGINT) AS payload_bytes,
+  array_to_string([{_DIGITS.replace("payload", "told.payload")} for g in range(8)], '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM told LEFT JOIN firsts ON firsts.payload = told.payload"""
+
 QUERIES = {"op10_warc": op10_warc}
-ORACLES: dict = {}
+ORACLES = {"op10_warc": ORACLE}

@@ -5,6 +5,7 @@ import io
 
 from galleryloom.llm import warc
 from galleryloom.llm.common import table
+from workload.compare import connect, difference
 
 
 def brute(pages, least=0):
@@ -24,7 +25,9 @@ def brute(pages, least=0):
 
 def test_query_equals_brute_force(spark, sf):
     pages = [tuple(r) for r in table(spark, sf, "pages").select("page_id", "url", "html").collect()]
-    assert sorted(map(tuple, warc.op10_warc(spark, sf).collect()), key=repr) == brute(pages)
+    got = warc.op10_warc(spark, sf)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(pages)
+    assert difference(got, connect(sf), warc.ORACLE) is None
 
 
 def test_edges(spark, tmp_path):
