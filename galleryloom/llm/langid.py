@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleryloom.llm.common import arrow_batches, fold, table
+from galleryloom.session import materialize
 
 # The model is fitted on about this many labelled documents and keeps this many letter groups.
 TRAIN_DOCUMENTS = 8192
-MAX_GRAMS = 200_000
+MAX_GRAMS = 60_000
 MAX_LANGUAGES = 200
 GRAM = 3
 # Cost, in log units, of changing the language between two words.
@@ -224,30 +225,23 @@ def fit(
             yield pd.DataFrame(rows, columns=["lang", "kind", "item", "n"])
 
     counts = labelled.mapInPandas(count, "lang string, kind string, item string, n long")
-    counts = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    per_item = counts.groupBy("kind", "item").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("langs")
-    )
-    kept = per_item.where("kind = 'script'").union(
-        per_item.where("kind = 'gram'").orderBy(F.desc("total"), "item").limit(max_grams)
-    )
-    found = kept.collect()
-    volume: Counter = Counter()
-    for row in found:
-        if row.kind == "gram":
-            volume.update(row.langs)
-    languages = sorted(lang for lang, _ in volume.most_common(MAX_LANGUAGES))
+    counts = materialize(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "letter-groups")
+    grams = counts.where("kind = 'gram'")
+    totals = grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    languages = sorted(r.lang for r in totals.collect())
     place = {lang: i for i, lang in enumerate(languages)}
-    grams = sorted(row.item for row in found if row.kind == "gram")
-    rows = {gram: i for i, gram in enumerate(grams)}
-    tally = np.zeros((len(grams) + 1, len(languages)), np.float64)
+    best = grams.groupBy("item").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "item").limit(max_grams)
+    # One row per group with its counts side by side: Arrow columns, no row objects.
+    number = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in languages])
+    kept = grams.join(F.broadcast(best.select("item")), "item").groupBy("item").agg(number.alias("n")).toPandas().sort_values("item")
+    rows = {gram: i for i, gram in enumerate(kept["item"])}
+    tally = np.zeros((len(rows) + 1, len(languages)), np.float64)
+    if rows:
+        tally[:-1] = np.stack(kept["n"].to_numpy())
     scripts: dict[str, Counter] = {}
-    for row in found:
-        for lang, n in row.langs.items():
-            if lang in place and row.kind == "gram":
-                tally[rows[row.item], place[lang]] = n
-            elif lang in place:
-                scripts.setdefault(row.item, Counter())[lang] = n
+    for row in counts.where("kind = 'script'").collect():
+        if row.lang in place:
+            scripts.setdefault(row.item, Counter())[row.lang] = row.n
     weights = np.log(tally + SMOOTHING) - np.log(tally.sum(axis=0) + SMOOTHING * len(tally))
     by_lang: Counter = Counter()
     for counts_of in scripts.values():
