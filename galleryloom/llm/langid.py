@@ -17,7 +17,7 @@ from galleryloom.session import materialize
 
 # The model is fitted on about this many labelled documents and keeps this many letter groups.
 TRAIN_DOCUMENTS = 8192
-MAX_GRAMS = 60_000
+MAX_GRAMS = 200_000
 MAX_LANGUAGES = 200
 GRAM = 3
 # Cost, in log units, of changing the language between two words.
@@ -201,8 +201,8 @@ def fit(
 ) -> Model:
     """Learn from at most about `documents` labelled texts, picked by a hash of the text.
 
-    Letter groups are counted by Spark; the `max_grams` most frequent groups and MAX_LANGUAGES most
-    frequent languages bound what reaches the driver. Rows without text or language teach nothing.
+    Letter groups are counted by Spark; the `max_grams` groups with the largest share of a language and the
+    MAX_LANGUAGES most frequent languages bound what reaches the driver. Rows without text or language teach nothing.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -228,16 +228,24 @@ def fit(
     counts = materialize(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "letter-groups")
     grams = counts.where("kind = 'gram'")
     totals = grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r.lang for r in totals.collect())
+    found = totals.collect()
+    languages = sorted(r.lang for r in found)
     place = {lang: i for i, lang in enumerate(languages)}
-    best = grams.groupBy("item").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "item").limit(max_grams)
-    # One row per group with its counts side by side: Arrow columns, no row objects.
-    number = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in languages])
-    kept = grams.join(F.broadcast(best.select("item")), "item").groupBy("item").agg(number.alias("n")).toPandas().sort_values("item")
-    rows = {gram: i for i, gram in enumerate(kept["item"])}
+    # A group counts by its largest share of a language, so small languages keep their groups next to large ones.
+    sums = F.create_map(*[F.lit(x) for r in found for x in (r.lang, float(r.n))]) if found else F.create_map().cast("map<string,double>")
+    numbers = F.create_map(*[F.lit(x) for item in place.items() for x in item]) if found else F.create_map().cast("map<string,int>")
+    entry = F.struct(numbers[F.col("lang")].cast("int").alias("place"), "n")
+    known = grams.where(F.col("lang").isin(languages))
+    best = known.groupBy("item").agg(F.max(F.col("n") / sums[F.col("lang")]).alias("share"), F.collect_list(entry).alias("entries"))
+    # Arrow columns with the counts that are not 0: no row objects, and no broadcast of the groups.
+    kept = best.orderBy(F.desc("share"), "item").limit(max_grams).select("item", "entries").toArrow().combine_chunks().sort_by("item")
+    rows = {gram: i for i, gram in enumerate(kept["item"].to_pylist())}
     tally = np.zeros((len(rows) + 1, len(languages)), np.float64)
     if rows:
-        tally[:-1] = np.stack(kept["n"].to_numpy())
+        entries = kept["entries"].combine_chunks()
+        owner = np.repeat(np.arange(len(rows)), entries.value_lengths().to_numpy())
+        tally[owner, entries.flatten().field("place").to_numpy()] = entries.flatten().field("n").to_numpy()
+    del kept
     scripts: dict[str, Counter] = {}
     for row in counts.where("kind = 'script'").collect():
         if row.lang in place:
