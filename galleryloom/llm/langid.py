@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from galleryloom.llm.common import arrow_batches, fold, table
 from galleryloom.session import materialize
 
-# The model is fitted on about this many labelled documents and keeps this many letter groups.
+# The model is fitted on about this many labelled texts, shared among the languages, but on about LANGUAGE_TEXTS of each
+# language at least (all where it has fewer), and keeps this many letter groups.
 TRAIN_DOCUMENTS = 8192
+LANGUAGE_TEXTS = 512
 MAX_GRAMS = 200_000
 MAX_LANGUAGES = 200
 GRAM = 3
@@ -196,22 +198,46 @@ def label_texts(model: Model, texts: list[str | None], penalty: float) -> list[t
     return out
 
 
+def quotas(sizes: dict[str, int], documents: int, least: int) -> dict[str, int]:
+    """Texts to take per language: what small languages leave of `documents` goes to the larger ones; never under `least`."""
+    left, out = documents, {}
+    for i, (lang, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(size, max(least, left // (len(sizes) - i)))
+        left = max(0, left - out[lang])
+    return out
+
+
+def training_texts(labelled: DataFrame, documents: int, least: int = LANGUAGE_TEXTS) -> DataFrame:
+    """Different (lang, text) pairs, about `quotas` of each language, picked by a hash of the text."""
+    hashed = labelled.withColumn("_hash", F.xxhash64("text", F.lit(7)))
+    different = hashed.select("lang", "_hash").distinct()
+    found = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn: map or filter the labels first")
+    sizes = {r.lang: r.n for r in found}
+    keep = F.lit(False)
+    for lang, quota in quotas(sizes, documents, least).items():
+        place = F.shiftrightunsigned("_hash", 1)
+        picked = F.lit(True) if quota >= sizes[lang] else place < int(2**63 * quota / sizes[lang])
+        keep = keep | ((F.col("lang") == F.lit(lang)) & picked)
+    return hashed.where(keep).dropDuplicates(["lang", "_hash"]).drop("_hash")
+
+
 def fit(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", documents: int = TRAIN_DOCUMENTS, max_grams: int = MAX_GRAMS
 ) -> Model:
-    """Learn from at most about `documents` labelled texts, picked by a hash of the text.
+    """Learn from about `documents` different labelled texts, shared among all languages, picked by a hash of the text.
 
-    Letter groups are counted by Spark; the `max_grams` groups with the largest share of a language and the
-    MAX_LANGUAGES most frequent languages bound what reaches the driver. Rows without text or language teach nothing.
+    Every language is learned, from all its texts where it has few. Letter groups are counted by Spark; the
+    `max_grams` groups with the largest share of a language reach the driver. More than MAX_LANGUAGES languages are an
+    error. Rows without text or language teach nothing; copies of a text teach once.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL"
     )
-    total = labelled.count()
-    if total > documents:
-        labelled = labelled.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * documents / total) + 1)
+    labelled = training_texts(labelled, documents)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -227,8 +253,7 @@ def fit(
     counts = labelled.mapInPandas(count, "lang string, kind string, item string, n long")
     counts = materialize(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "letter-groups")
     grams = counts.where("kind = 'gram'")
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    found = totals.collect()
+    found = grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()
     languages = sorted(r.lang for r in found)
     place = {lang: i for i, lang in enumerate(languages)}
     # A group counts by its largest share of a language, so small languages keep their groups next to large ones.

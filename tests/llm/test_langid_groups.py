@@ -1,5 +1,7 @@
 """Letter groups and training texts per language."""
 
+import pytest
+
 from galleryloom.llm import langid
 
 
@@ -13,3 +15,28 @@ def test_small_language_keeps_its_groups(spark):
 
 def test_default_number_of_groups():
     assert langid.fit.__defaults__[-1] == langid.MAX_GRAMS == 200_000
+
+
+def test_small_language_is_learned_from_a_large_table(spark):
+    large = [(f"the cat number w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} sleeps here", "en") for i in range(3000)]
+    copies = [("one text in many copies", "en")] * 1500
+    small = [("el perro duerme en la casa", "es"), ("la casa del perro es grande", "es")]
+    docs = spark.createDataFrame(large + copies + small, "text string, lang string")
+    taught = langid.training_texts(docs, 100, 50).collect()
+    assert sorted(r.text for r in taught if r.lang == "es") == sorted(t for t, _ in small)
+    assert len({r.text for r in taught}) == len(taught) and 50 < len(taught) < 200
+    model = langid.fit(docs, documents=100)
+    found = langid.with_language(spark.createDataFrame([("el perro es grande",)], "text string"), model)
+    assert found.first().language.lang == "es"
+
+
+def test_quotas():
+    assert langid.quotas({"a": 5, "b": 1000, "c": 90}, 300, 10) == {"a": 5, "b": 205, "c": 90}
+    assert langid.quotas({"a": 5, "b": 1000, "c": 90}, 20, 10) == {"a": 5, "b": 10, "c": 10}
+    assert langid.quotas({}, 20, 10) == {}
+
+
+def test_too_many_languages_are_told(spark):
+    docs = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(langid.MAX_LANGUAGES + 1)], "text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs)
