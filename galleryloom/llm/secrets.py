@@ -68,27 +68,56 @@ class Language:
         return cls([r.word for r in top], [r.pair for r in found])
 
 
+# A sign or a piece between blanks, quotes and brackets, with the quote before it; marks that may cut a piece further.
+PIECE = r"""["']?[=:]{1,2}=?|["']?[^\s"'()\[\]{}<>]+"""
+MARKS = "[,;&?]"
+SIGN = "^[\"']?[=:]{1,2}=?$"
+
+
 def candidates(text: Column, language: Language) -> Column:
     """Array of (value, before, and the features) of a text's tokens that may be secrets.
 
-    A token is a run without white space. Its value is what stands behind `name=` or `name:` and inside
-    quotes and brackets, without marks at its end; it is a candidate from MIN_LENGTH characters on if it has a digit or follows a
-    credential word. `before` is the name, or the word before the token or before its sign.
+    Texts are cut at blanks, quotes and brackets into pieces, and pieces at commas, semicolons, ampersands and question
+    marks into parts. Each part is a token, and so is a piece of several parts whose marks do not stand before a name. The value of a
+    token is what stands behind `name=` or `name:`, without marks at its end; it is a candidate from MIN_LENGTH characters
+    on if it has a digit or follows a credential word. `before` is the name, or the word before the token or before its sign.
     """
-    wanted = f"(?i)[0-9]|(?:{CREDENTIAL_WORDS})[\"']?[=:]"
+    wanted = f"(?i)[0-9]|(?:{CREDENTIAL_WORDS})[=:]"
 
-    def context(words: Column, i: Column) -> Column:
-        token, last, further = F.get(words, i), F.coalesce(F.get(words, i - 1), F.lit("")), F.coalesce(F.get(words, i - 2), F.lit(""))
-        sign = last.rlike("^[=:]{1,2}=?$")
-        name = F.regexp_extract(token, "^[\"'(\\[{<]*([A-Za-z_-]+)[\"']?[=:]", 1)
-        value = F.regexp_extract(token, "^[\"'(\\[{<]*(?:[A-Za-z_-]+[\"']?[=:])?[\"'(\\[{<]*([^\"'()\\[\\]{}<>]*?)[^A-Za-z0-9+/=_]*(?:[\"'()\\[\\]{}<>].*)?$", 1)
+    def context(token: Column, last: Column, further: Column, after: Column, quoted: Column) -> Column:
+        sign = last.rlike(SIGN)
+        name = F.regexp_extract(token, "^([A-Za-z_-]+)[=:]", 1)
+        value = F.regexp_extract(token, "^(?:[A-Za-z_-]+[=:])?(.*?)[^A-Za-z0-9+/=_]*$", 1)
         before = F.when(name != "", name).when(sign, further).otherwise(last)
         return F.struct(
             value.alias("value"), F.regexp_replace(before, "[\"':=,;.]+$", "").alias("before"),
-            (sign | (name != "") | last.rlike("[=:]$")).alias("assigned"), token.rlike("[\"']").alias("quoted"),
-            F.concat_ws(" ", further, last, F.coalesce(F.get(words, i + 1), F.lit(""))).alias("near"),
+            (sign | (name != "") | last.rlike("[=:]$")).alias("assigned"), quoted.alias("quoted"),
+            F.concat_ws(" ", further, last, after).alias("near"),
         )
 
+    def tokens(pieces: Column, i: Column) -> Column:
+        """The candidates of a piece: its parts, and the piece as a whole."""
+        bare = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), "^[\"']", "")
+        # Of the pieces before, the part that stands next to this one.
+        tail = lambda x: F.regexp_extract(x, f"([^,;&?]*){MARKS}*$", 1)
+        piece, last, further, after = bare(F.get(pieces, i)), tail(bare(F.get(pieces, i - 1))), tail(bare(F.get(pieces, i - 2))), bare(F.get(pieces, i + 1))
+        quoted = F.get(pieces, i).rlike("^[\"']")
+        whole = context(piece, last, further, after, quoted)
+
+        def cut(parts: Column) -> Column:
+            at = lambda j: F.get(parts, j)
+            return F.transform(
+                parts,
+                lambda part, j: context(
+                    part, F.when(j > 0, at(j - 1)).otherwise(last), F.when(j > 1, at(j - 2)).when(j > 0, last).otherwise(further), F.coalesce(at(j + 1), after), quoted,
+                ),
+            )
+
+        parts = _let(F.split(piece, f"{MARKS}+"), cut)
+        named = piece.rlike(f"{MARKS}[A-Za-z_-]+[=:]")
+        inner = piece.rlike(f"{MARKS}[^,;&?]*[A-Za-z0-9]")
+        return F.when(~inner, F.array(whole)).when(named, parts).otherwise(F.concat(F.array(whole), parts))
+
     def features(c: Column) -> Column:
         value = c["value"]
         size = F.length(value).cast("double")
@@ -106,16 +135,18 @@ def candidates(text: Column, language: Language) -> Column:
         }
         return F.struct(value.alias("value"), c["before"].alias("before"), *[columns[f].cast("double").alias(f) for f in FEATURES])
 
-    def of(words: Column) -> Column:
-        # A text without tokens has one empty word, so the sequence is never reversed.
+    def of(pieces: Column) -> Column:
+        # Without pieces the sequence runs from 0 down to -1; no place there is long enough.
         places = F.filter(
-            F.sequence(F.lit(0), F.size(words) - 1),
-            lambda i: (F.length(F.get(words, i)) >= MIN_LENGTH) & (F.get(words, i).rlike(wanted) | F.coalesce(F.get(words, i - 1), F.lit("")).rlike(f"(?i)(^|[_-])({CREDENTIAL_WORDS})[\"']?[=:]$")),
+            F.sequence(F.lit(0), F.size(pieces) - 1),
+            lambda i: (F.length(F.get(pieces, i)) >= MIN_LENGTH) & (F.get(pieces, i).rlike(wanted) | F.coalesce(F.get(pieces, i - 1), F.lit("")).rlike(f"(?i)(^|[\"'_,;&?-])({CREDENTIAL_WORDS})[=:]$")),
         )
-        found = F.filter(F.transform(places, lambda i: context(words, i)), lambda c: F.length(c["value"]) >= MIN_LENGTH)
+        worth = lambda c: F.length(c["value"]) >= MIN_LENGTH
+        found = F.flatten(F.transform(places, lambda i: F.filter(tokens(pieces, i), worth)))
         return F.transform(found, features)
 
-    return _let(F.split(F.coalesce(text, F.lit("")), "\\s+"), of)
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
+    return _let(F.filter(pieces, lambda p: p.rlike("[\\p{L}\\p{N}=:]")), of)
 
 
 def shape_label(candidate: Column) -> Column:

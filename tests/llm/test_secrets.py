@@ -45,3 +45,20 @@ def test_edges(spark):
     empty = df.limit(0)
     assert secrets.Forest.fit(secrets.labelled_findings(empty, secrets.Language.learn(empty))) is None
     assert secrets.with_secrets(empty, language, forest).count() == 0
+
+
+def test_every_name_and_value_of_a_run(spark):
+    key = "0123456789abcdef0123456789abcdef01234567"
+    language = secrets.Language(["the", "word"], ["th"])
+    forms = {
+        '{"user":"bob","password":"abc123XYZ789qq"}': ("abc123XYZ789qq", "password", 1.0), f'{{"id":1,"token":"{key}"}}': (key, "token", 1.0),
+        f'f(x,token="{key}")': (key, "token", 1.0), f"see(token:{key})": (key, "token", 1.0), f'<a><b>token="{key}': (key, "token", 1.0),
+        f"https://h.example/p?id=1&token={key}&x=2": (key, "token", 1.0), f"https://h.example/p?token={key}": (key, "token", 1.0),
+        f'"1","bob","{key}"': (key, "bob", 0.0), f"1,bob,{key},x": (key, "bob", 0.0), f"a=1;token={key};b=2": (key, "token", 1.0),
+        "{'password':'abc123XYZ789qq'}": ("abc123XYZ789qq", "password", 1.0), "'password' => 'abc123XYZ789qq'": ("abc123XYZ789qq", "password", 1.0),
+        "password=ab,cd&1234": ("ab,cd&1234", "password", 1.0), '{"password":1234567890,"a":1}': ("1234567890", "password", 1.0),
+    }
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    for row in df.select("t", secrets.candidates(df.t, language).alias("c")).collect():
+        found = [(c.value, c.before, c.assigned) for c in row.c]
+        assert forms[row.t] in found, (row.t, found)
