@@ -24,9 +24,11 @@ TREES, DEPTH, SEED = 24, 6, 7
 # Words that stand before credentials, shapes of issued keys, and shapes of harmless tokens.
 CREDENTIAL_WORDS = "pass|passwd|password|pwd|secret|token|apikey|api_key|api-key|key|auth|bearer|credential|credentials"
 KEY_SHAPES = "^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abp]-[0-9A-Za-z-]{10,}$|^AIza[0-9A-Za-z_-]{35}$|^sk_live_[0-9A-Za-z]{16,}$"
-HARMLESS_SHAPES = (
-    r"^[0-9.,:()+/-]+$|^[^@]+@[^@]+\.[A-Za-z]+$|^(https?|ftp):|^v?[0-9]+(\.[0-9a-z]+)+$|^([A-Za-z0-9_.-]*/)+[A-Za-z0-9_.-]*$|^[A-Za-z]+[0-9]{1,3}$"
-)
+HARMLESS_SHAPES = r"^[0-9.,:()+/-]+$|^[^@]+@[^@]+\.[A-Za-z]+$|^(https?|ftp):|^v?[0-9]+(\.[0-9a-z]+)+$"
+WORD_AND_NUMBER = "^[A-Za-z]+[0-9]{1,3}$"
+# Keys in base 64 may look like paths; the parts of a path consist of words or of common letter pairs to this share.
+PATH = "^([A-Za-z0-9_.-]*/)+[A-Za-z0-9_.-]*$"
+PATH_WORDS, PATH_PAIRS = 0.25, 0.35
 FEATURES = (
     "length", "digits", "capitals", "small", "others", "class_changes", "common_pairs", "dictionary", "slashes", "dots", "at_sign",
     "distinct", "hexadecimal", "numeric", "credential_before", "assigned", "quoted", "credential_near",
@@ -150,11 +152,17 @@ def candidates(text: Column, language: Language) -> Column:
 
 
 def shape_label(candidate: Column) -> Column:
-    """Label of a candidate by its shape: 1 for issued keys and assigned credentials, 0 for harmless tokens, else NULL."""
+    """Label of a candidate by its shape: 1 for issued keys and assigned credentials, 0 for harmless tokens, else NULL.
+
+    What is assigned to a credential word is never 0: it is 1 if mixed, also where it looks like a path without words or like a word and
+    a number, and has no label otherwise.
+    """
     value = candidate["value"]
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 12) & ~value.rlike(HARMLESS_SHAPES)
-    assigned = (candidate["assigned"] > 0) & (candidate["credential_before"] > 0) & mixed
-    return F.when(value.rlike(KEY_SHAPES) | assigned, 1.0).when(value.rlike(HARMLESS_SHAPES), 0.0)
+    path = value.rlike(PATH) & ((candidate["dictionary"] >= PATH_WORDS) | (candidate["common_pairs"] >= PATH_PAIRS))
+    harmless = value.rlike(HARMLESS_SHAPES) | path
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 12) & ~harmless
+    credential = (candidate["assigned"] > 0) & (candidate["credential_before"] > 0)
+    return F.when(value.rlike(KEY_SHAPES) | (credential & mixed), 1.0).when(~credential & (harmless | value.rlike(WORD_AND_NUMBER)), 0.0)
 
 
 def labelled_findings(docs: DataFrame, language: Language, text_col: str = "text", limit: int = TRAIN_FINDINGS) -> DataFrame:

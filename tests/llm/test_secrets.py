@@ -62,3 +62,24 @@ def test_every_name_and_value_of_a_run(spark):
     for row in df.select("t", secrets.candidates(df.t, language).alias("c")).collect():
         found = [(c.value, c.before, c.assigned) for c in row.c]
         assert forms[row.t] in found, (row.t, found)
+
+
+def test_credentials_are_not_taught_as_harmless(spark):
+    language = secrets.Language(["docs", "english", "page"], ["en", "ng", "gl", "li", "is", "sh", "do", "oc", "cs", "pa", "ag", "ge"])
+    forms = {
+        "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": 1.0, "password = Letmeinplease123": 1.0, "secret: docs/english/page12": None,
+        "token: 20240101123456": None, "password=v1.2.3.4.5.6.7": None, "see wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": None,
+        "see docs/english/page12": 0.0, "room Letmeinplease123": 0.0, "mail a.b123@example.org": 0.0,
+    }
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    c = secrets.candidates(df.t, language)[0]
+    assert {r.t: r.label for r in df.select("t", secrets.shape_label(c).alias("label")).collect()} == forms
+
+
+def test_forest_judges_assigned_keys_with_slashes(spark, sf):
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "text")
+    key, word = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Letmeinplease123"
+    planted = spark.createDataFrame([(-1, f"aws_secret_access_key = {key} is set"), (-2, f"password = {word} is set")], "doc_id long, text string")
+    docs = docs.union(planted)
+    found = secrets.with_secrets(planted, *secrets.learn(docs)).collect()
+    assert {f.value for r in found for f in r.findings if f.score >= secrets.THRESHOLD} == {key, word}
