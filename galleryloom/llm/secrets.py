@@ -82,7 +82,7 @@ def candidates(text: Column, language: Language) -> Column:
     Texts are cut at blanks, quotes and brackets into pieces, and pieces at commas, semicolons, ampersands and question
     marks into parts. Each part is a token, and so is a piece of several parts whose marks do not stand before a name. The value of a
     token is what stands behind `name=` or `name:`, without marks at its end; it is a candidate from MIN_LENGTH characters
-    on if it has a digit or follows a credential word. `before` is the name, or the word before the token or before its sign.
+    on if it has a digit or follows a credential word and its sign, or Bearer. `before` is the name, or the word before the token or before its sign.
     """
     wanted = f"(?i)[0-9]|(?:{CREDENTIAL_WORDS})[=:]"
 
@@ -137,13 +137,20 @@ def candidates(text: Column, language: Language) -> Column:
         }
         return F.struct(value.alias("value"), c["before"].alias("before"), *[columns[f].cast("double").alias(f) for f in FEATURES])
 
+    def follows(pieces: Column, i: Column) -> Column:
+        """The piece before is a credential word with its sign, a sign behind a credential word, or Bearer."""
+        last, further = F.coalesce(F.get(pieces, i - 1), F.lit("")), F.coalesce(F.get(pieces, i - 2), F.lit(""))
+        word = f"(?i)(^|[\"'_,;&?-])({CREDENTIAL_WORDS})"
+        return last.rlike(f"{word}[=:]$|(?i)^[\"']?bearer$") | (last.rlike(SIGN) & further.rlike(f"{word}$"))
+
     def of(pieces: Column) -> Column:
         # Without pieces the sequence runs from 0 down to -1; no place there is long enough.
         places = F.filter(
             F.sequence(F.lit(0), F.size(pieces) - 1),
-            lambda i: (F.length(F.get(pieces, i)) >= MIN_LENGTH) & (F.get(pieces, i).rlike(wanted) | F.coalesce(F.get(pieces, i - 1), F.lit("")).rlike(f"(?i)(^|[\"'_,;&?-])({CREDENTIAL_WORDS})[=:]$")),
+            lambda i: (F.length(F.get(pieces, i)) >= MIN_LENGTH) & (F.get(pieces, i).rlike(wanted) | follows(pieces, i)),
         )
-        worth = lambda c: F.length(c["value"]) >= MIN_LENGTH
+        named = lambda c: (c["assigned"] & c["before"].rlike(f"(?i)(^|[_-])({CREDENTIAL_WORDS})$")) | c["before"].rlike("(?i)^bearer$")
+        worth = lambda c: (F.length(c["value"]) >= MIN_LENGTH) & (c["value"].rlike("[0-9]") | named(c))
         found = F.flatten(F.transform(places, lambda i: F.filter(tokens(pieces, i), worth)))
         return F.transform(found, features)
 

@@ -83,3 +83,15 @@ def test_forest_judges_assigned_keys_with_slashes(spark, sf):
     docs = docs.union(planted)
     found = secrets.with_secrets(planted, *secrets.learn(docs)).collect()
     assert {f.value for r in found for f in r.findings if f.score >= secrets.THRESHOLD} == {key, word}
+
+
+def test_tokens_without_digits_behind_a_sign(spark):
+    language = secrets.Language(["the", "word"], ["th"])
+    forms = {
+        "password = correcthorsebattery": "correcthorsebattery", 'token = "AbCdEfGhIjKlMnOp"': "AbCdEfGhIjKlMnOp", "password: correcthorsebattery": "correcthorsebattery",
+        "Authorization: Bearer AbCdEfGhIjKlMnOp": "AbCdEfGhIjKlMnOp", '{"api_key" : "AbCdEfGhIjKlMnOp"}': "AbCdEfGhIjKlMnOp", '{"secret":"no-digits-here"}': "no-digits-here",
+        "x=1&password=correcthorsebattery": "correcthorsebattery", "word = correcthorsebattery": None, "the secret correcthorsebattery": None, "the1,correcthorsebattery": "the1,correcthorsebattery",
+    }
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    got = {r.t: [c.value for c in r.c] for r in df.select("t", secrets.candidates(df.t, language).alias("c")).collect()}
+    assert got == {t: [v] if v else [] for t, v in forms.items()}
