@@ -15,9 +15,8 @@ from galleryloom.session import materialize
 MIN_LENGTH = 8
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-# The forest is fitted on at most about this many labelled findings; words and letter pairs come from as many texts as below.
+# The forest is fitted on at most about this many labelled findings; of the words and letter pairs of all texts the most frequent are kept.
 TRAIN_FINDINGS = 20_000
-WORD_TEXTS = 2_000
 DICTIONARY_WORDS = 300
 LETTER_PAIRS = 150
 TREES, DEPTH, SEED = 24, 6, 7
@@ -55,13 +54,9 @@ class Language:
         self.words, self.pairs = _any_of(words), f"(?=({_any_of(pairs)}))"
 
     @classmethod
-    def learn(cls, docs: DataFrame, text_col: str = "text", texts: int = WORD_TEXTS) -> Language:
-        """The most frequent words of three letters or more, and letter pairs, of about `texts` texts picked by hash."""
-        total = docs.count()
-        sample = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
-        if total > texts:
-            sample = sample.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * texts / total) + 1)
-        words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    def learn(cls, docs: DataFrame, text_col: str = "text") -> Language:
+        """The most frequent words of three letters or more, and letter pairs, of all texts."""
+        words = docs.select(F.col(text_col).alias("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
         counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
         top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word").collect()
         pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2))))

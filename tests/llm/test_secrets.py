@@ -95,3 +95,14 @@ def test_tokens_without_digits_behind_a_sign(spark):
     df = spark.createDataFrame([(t,) for t in forms], "t string")
     got = {r.t: [c.value for c in r.c] for r in df.select("t", secrets.candidates(df.t, language).alias("c")).collect()}
     assert got == {t: [v] if v else [] for t, v in forms.items()}
+
+
+def test_words_come_from_all_texts(spark):
+    texts = [(f"alpha beta {'gamma' if i % 2 else 'delta'} w{i}",) for i in range(5000)] + [(" ".join(["rare"] * 50),)] * 200
+    df = spark.createDataFrame(texts, "text string")
+    language = secrets.Language.learn(df)
+    # Counts over all texts: rare 10,000, alpha and beta 5,000, gamma and delta 2,500 each; the least pairs are those of gamma and delta.
+    assert set(language.words.split("|")) == {"rare", "alpha", "beta", "gamma", "delta"}
+    split = spark.createDataFrame([(f"{'x' * 3}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} " * (2 if i < 300 else 1),) for i in range(676)] * 4, "text string")
+    kept = set(secrets.Language.learn(split).words.split("|"))
+    assert kept == {f"xxx{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)}
