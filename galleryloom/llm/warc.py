@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import io
 import re
 import zlib
@@ -166,6 +168,12 @@ def _row(record: dict) -> tuple:
         found = re.search(r"(?im)^content-length: *(\d+)", http)
         payload_bytes = int(found[1]) if found else len(block)
     digest = record.get("warc-payload-digest")
+    if record.get("warc-type") == "response" and http is not None:
+        # What was read counts; a revisit has only the values in its headers.
+        own = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        if payload_bytes != len(block) or (digest or own).startswith("sha1:") and (digest or own) != own:
+            raise ValueError(f"payload of {bare('warc-record-id')}: {len(block)} bytes, {own}; its headers say {payload_bytes} bytes, {digest}")
+        digest = own
     return (
         record.get("warc-type"), bare("warc-record-id"), bare("warc-concurrent-to"), bare("warc-refers-to"), record.get("warc-target-uri"),
         digest.removeprefix("sha1:") if digest else None, payload_bytes, http, block.decode("utf-8", "replace"),

@@ -58,3 +58,25 @@ def test_members_and_stray_records():
     raw = gzip.compress(head) + gzip.compress(head * 2)
     found = list(warc.parse_records(warc._inflated(io.BytesIO(raw).getvalue())))
     assert [r["block"] for r in found] == [b"ab\r\n"] * 3
+
+
+def test_damaged_payloads_are_found(spark, tmp_path):
+    def record(payload, digest, size):
+        http = f"HTTP/1.1 200 OK\r\nContent-Length: {size}\r\n\r\n".encode() + payload
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:1:a>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    digest = base64.b32encode(hashlib.sha1(b"whole text").digest()).decode()
+    forms = {"fine": record(b"whole text", digest, 10), "changed": record(b"whole tent", digest, 10), "cut": record(b"whole", digest, 10)}
+    for name, raw in forms.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.gz").write_bytes(gzip.compress(raw))
+    read = lambda name: [(r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, str(tmp_path / name)).select("payload_bytes", "payload_digest").collect()]
+    assert read("fine") == [(10, digest)]
+    for name in ("changed", "cut"):
+        try:
+            read(name)
+        except Exception as error:
+            assert "its headers say" in str(error)
+        else:
+            raise AssertionError(name)
