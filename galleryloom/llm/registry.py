@@ -1,9 +1,9 @@
 """All queries of the training-data operators and the SQL that checks them."""
 
 import corpus_pipeline
-from galleryloom.llm import bpe, decontaminate, langid, neighbours, quality, resample, runs, secrets, shuffle, simhash, urlfilter, warc
+from galleryloom.llm import bpe, decontaminate, langid, licenses, neighbours, quality, resample, runs, secrets, shuffle, simhash, urlfilter, warc
 
-MODULES = (neighbours, bpe, langid, urlfilter, decontaminate, simhash, secrets, quality, shuffle, warc, resample, runs)
+MODULES = (neighbours, bpe, langid, urlfilter, decontaminate, simhash, secrets, quality, shuffle, warc, licenses, resample, runs)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
