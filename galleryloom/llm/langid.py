@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,11 +26,11 @@ GRAM = 3
 SWITCH_PENALTY = 12.0
 # A language is a candidate for a script when the script holds at least this share of its words.
 SCRIPT_SHARE = 0.01
-OTHER_SCRIPT = -60.0
 SMOOTHING = 0.5
 SEGMENT = 128
-CACHED_WORDS = 300_000
-GROUP_CHARS = 2_000_000
+# Texts are labelled in groups of about this many characters, with tables of at most about this many cells.
+GROUP_CHARS = 1_000_000
+SCORE_CELLS = 2_000_000
 UNDETERMINED = "und"
 
 # First and last code point of the blocks that letters of a script come from.
@@ -71,6 +71,77 @@ def grams_of(word: str) -> list[str]:
     return [marked[i : i + GRAM] for i in range(max(1, len(marked) - GRAM + 1))] + [marked]
 
 
+_LOW = np.array([low for _, low, _ in SCRIPT_RANGES])
+_HIGH = np.array([high for _, _, high in SCRIPT_RANGES])
+_SCRIPTS = sorted({name for name, _, _ in SCRIPT_RANGES}) + ["other"]
+_SCRIPT_OF_RANGE = np.array([_SCRIPTS.index(name) for name, _, _ in SCRIPT_RANGES])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits of every number, well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_keys(marked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the letter groups of words between marks, word after word, and the number of each word's groups.
+
+    Three letters fill 63 bits as they are; a whole word of more is a hash with the top bit set.
+    """
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    inside = (np.arange(len(letters)) - np.repeat(begin, sizes)).astype(np.uint64)
+    triple = np.zeros(len(letters), np.uint64)
+    triple[:-2] = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
+    spread = _mixed(letters + (inside + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    whole = _mixed(np.add.reduceat(spread, begin)) | np.uint64(1 << 63)
+    whole = np.where(sizes == GRAM, triple[begin], whole)
+    counts = sizes - GRAM + 2  # the groups of three, and the word
+    out = np.empty(int(counts.sum()), np.uint64)
+    last = np.cumsum(counts) - 1
+    threes = np.ones(len(out), bool)
+    threes[last] = False
+    out[threes] = triple[(inside + np.uint64(GRAM)).astype(np.int64) <= np.repeat(sizes, sizes)]
+    out[last] = whole
+    return out, counts
+
+
+@dataclass
+class Scorer:
+    """What a worker needs of a model: sorted 64-bit keys of the letter groups, and their log probabilities per language.
+
+    Nothing is remembered from one group of texts to the next, so a worker's memory does not grow with the corpus.
+    """
+
+    languages: list[str]
+    keys: np.ndarray
+    weights: np.ndarray
+    allowed: np.ndarray
+
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(languages that are candidates of any word, their scores per word).
+
+        The script of a word narrows its candidates; a language that does not write it scores minus infinity.
+        """
+        places, different = pd.factorize(np.array(words, object))
+        first = np.fromiter((ord(w[0]) for w in different), np.int64, len(different))
+        span = np.searchsorted(_LOW, first, side="right") - 1
+        script = np.where((span >= 0) & (first <= _HIGH[span]), _SCRIPT_OF_RANGE[span], len(_SCRIPTS) - 1)
+        used = np.flatnonzero(self.allowed[np.unique(script)].any(axis=0))
+        weights = self.weights[:, used] if len(used) < len(self.languages) else self.weights
+        scores = np.empty((len(different), len(used)), np.float32)
+        step = max(1, SCORE_CELLS // (8 * len(used)))
+        for at in range(0, len(different), step):
+            keys, counts = gram_keys([f"^{w}$" for w in different[at : at + step]])
+            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1) if len(self.keys) else np.zeros(len(keys), np.int64)
+            rows = np.where(self.keys[found] == keys, found, len(self.keys)) if len(self.keys) else found
+            scores[at : at + step] = np.add.reduceat(weights[rows], np.cumsum(counts) - counts, axis=0)
+        scores[~self.allowed[script][:, used]] = -np.inf
+        return used, scores[places]
+
+
 @dataclass
 class Model:
     """Letter groups with a row of log probabilities per language; the last row is that of an unseen group."""
@@ -79,35 +150,48 @@ class Model:
     rows: dict[str, int]
     weights: np.ndarray
     scripts: dict[str, np.ndarray]
-    known: dict[str, int] = field(default_factory=dict)
-    scores: np.ndarray | None = None
-
-    def word_rows(self, words: list[str]) -> np.ndarray:
-        """Per word, its place in `scores`; new words are scored together."""
-        if self.scores is None or len(self.known) > CACHED_WORDS:
-            self.known, self.scores = {}, np.zeros((0, len(self.languages)), np.float32)
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        if fresh:
-            unseen, find = len(self.rows), self.rows.get
-            groups = [[find(g, unseen) for g in grams_of(w)] for w in fresh]
-            sizes = np.fromiter(map(len, groups), np.int64, len(groups))
-            flat = np.fromiter((g for group in groups for g in group), np.int64, int(sizes.sum()))
-            added = np.add.reduceat(self.weights[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-            for i, word in enumerate(fresh):
-                allowed = self.scripts.get(script_of(word))
-                if allowed is not None:
-                    added[i, ~allowed] += OTHER_SCRIPT
-            self.known.update(zip(fresh, range(len(self.scores), len(self.scores) + len(fresh))))
-            self.scores = np.concatenate([self.scores, added.astype(np.float32)])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def scorer(self) -> Scorer:
+        """The packed form that is sent to the workers."""
+        keys = np.zeros(0, np.uint64)
+        if self.rows:
+            all_keys, counts = gram_keys(list(self.rows))
+            keys = all_keys[np.cumsum(counts) - 1]
+        order = np.argsort(keys)
+        every = np.ones(len(self.languages), bool)
+        allowed = np.array([self.scripts.get(name, every) for name in _SCRIPTS])
+        place = np.fromiter(self.rows.values(), np.int64, len(self.rows))[order]
+        return Scorer(self.languages, keys[order], np.vstack([self.weights[place], self.weights[-1:]]), allowed)
+
+
+def _entries(scores: np.ndarray, begin: np.ndarray, order: np.ndarray, penalty: np.float32) -> np.ndarray:
+    """Per segment, the value of the best path that ends before it, for every language, less the best of them.
+
+    The best ways through a segment are found for every language it may be entered with, a bounded number of
+    segments side by side; the segments of a text are then chained.
+    """
+    width = scores.shape[1]
+    entry = np.zeros((len(begin), width), np.float32)
+    inner = np.flatnonzero(np.r_[order[1:] > 0, False])
+    step = max(1, SCORE_CELLS // width**2)
+    for at in range(0, len(inner), step):
+        own = inner[at : at + step]
+        best = np.full((len(own), width, width), -np.inf, np.float32)
+        best[:, np.arange(width), np.arange(width)] = 0
+        for t in range(SEGMENT):
+            np.maximum(best, best.max(axis=2, keepdims=True) - penalty, out=best)
+            best += scores[begin[own] + t][:, None, :]
+        for i, ways in zip(own.tolist(), best):
+            reach = (entry[i][:, None] + ways).max(axis=0)
+            entry[i + 1] = reach - reach.max()
+    return entry
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """Best language per word for texts laid end to end: word scores minus `penalty` per change, ties stay.
 
-    Texts are cut into segments. The best path through a segment is found for every language it may be
-    entered with, all segments side by side; the segments of a text are then chained. Long texts thus
-    cost no more steps than short ones.
+    Texts are cut into segments whose entry values are known from `_entries`; all segments then step side by side, so
+    long texts cost no more steps than short ones. Memory is one cell per word and language.
     """
     count, width = scores.shape
     pieces = -(-lengths // SEGMENT)
@@ -118,47 +202,39 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     order = np.arange(total) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = np.repeat(np.cumsum(lengths) - lengths, pieces) + order * SEGMENT
     size = np.minimum(SEGMENT, lengths[text] - order * SEGMENT)
-    deepest = int(size.max())
-    best = np.full((total, width, width), -np.inf, np.float32)
-    best[:, np.arange(width), np.arange(width)] = 0
-    came = np.zeros((deepest, total, width, width), np.uint8)
+    penalty = np.float32(penalty)
+    reach = _entries(scores, begin, order, penalty)
+    came = np.zeros((count, width), np.uint8)
     every = np.arange(width, dtype=np.uint8)
-    for t in range(deepest):
-        live = np.flatnonzero(size > t)
-        now = best[live]
-        top = now.argmax(axis=2)
-        jump = np.take_along_axis(now, top[:, :, None], 2) - np.float32(penalty)
+    by_size = np.argsort(-size, kind="stable")
+    open_at = np.searchsorted(-size[by_size], -np.arange(int(size.max())), side="left")  # segments with more than t words
+    for t, live in enumerate(by_size[:n] for n in open_at):
+        now = reach[live]
+        top = now.argmax(axis=1)
+        jump = now[np.arange(len(live)), top][:, None] - penalty
         stay = now >= jump
-        came[t, live] = np.where(stay, every, top[:, :, None].astype(np.uint8))
-        best[live] = np.where(stay, now, jump) + scores[begin[live] + t][:, None, :]
-    first = np.cumsum(pieces) - pieces
-    reach = np.zeros((len(lengths), width), np.float64)
-    entered = np.zeros((total, width), np.uint8)
-    for s in range(int(pieces.max())):
-        live = np.flatnonzero(pieces > s)
-        ways = reach[live][:, :, None] + best[first[live] + s]
-        entered[first[live] + s] = ways.argmax(axis=1)
-        reach[live] = ways.max(axis=1)
-    left = np.zeros(total, np.int64)
-    start = np.zeros(total, np.int64)
-    state = reach.argmax(axis=1)
-    for s in range(int(pieces.max()) - 1, -1, -1):
-        live = np.flatnonzero(pieces > s)
-        left[first[live] + s] = state[live]
-        start[first[live] + s] = state[live] = entered[first[live] + s, state[live]]
+        came[begin[live] + t] = np.where(stay, every, top[:, None].astype(np.uint8))
+        reach[live] = np.where(stay, now, jump) + scores[begin[live] + t]
+    # The language in front of a segment, for every language it may end with.
+    origin = np.tile(every, (total, 1))
+    for t in range(len(open_at) - 1, -1, -1):
+        live = by_size[: open_at[t]]
+        origin[live] = np.take_along_axis(came[begin[live] + t], origin[live], 1)
+    last = np.r_[order[1:] == 0, True]
+    final = reach.argmax(axis=1).tolist()
+    left, state = np.zeros(total, np.uint8), 0
+    for i in range(total - 1, -1, -1):
+        state = final[i] if last[i] else state
+        left[i] = state
+        state = int(origin[i, state])
     label = np.zeros(count, np.int64)
-    for t in range(deepest - 1, -1, -1):
-        live = np.flatnonzero(size > t)
+    for t in range(len(open_at) - 1, -1, -1):
+        live = by_size[: open_at[t]]
         label[begin[live] + t] = left[live]
-        left[live] = came[t, live, start[live], left[live]]
+        left[live] = came[begin[live] + t, left[live]]
     return label
 
 
-def word_scores(model: Model, words: list[str]) -> np.ndarray:
-    rows = model.word_rows(words)
-    return model.scores[rows]
-
-
 def text_groups(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[list[str | None]]:
     """Texts in groups of about `limit` characters, so that the path tables of a batch stay small."""
     group, size = [], 0
@@ -172,12 +248,15 @@ def text_groups(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[l
         yield group
 
 
-def label_texts(model: Model, texts: list[str | None], penalty: float) -> list[tuple]:
+def label_texts(model: Scorer, texts: list[str | None], penalty: float) -> list[tuple]:
     """(language, score, spans) per text; spans are (language, first word, word behind the last, letters)."""
     words = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     flat = [w for ws in words for w in ws]
-    label = viterbi(word_scores(model, flat), lengths, penalty)
+    if not flat:
+        return [(UNDETERMINED, 0.0, [])] * len(texts)
+    used, scores = model.word_scores(flat)
+    label = used[viterbi(scores, lengths, penalty)]
     letters = np.fromiter(map(len, flat), np.int64, len(flat))
     out, at = [], 0
     for n in lengths:
@@ -288,7 +367,7 @@ def fit(
 
 def identify(text: Column, model: Model, spark, penalty: float = SWITCH_PENALTY) -> Column:
     """Struct column of a text column: lang, score (share of letters in that language) and word spans."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.scorer())
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

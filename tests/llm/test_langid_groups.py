@@ -1,5 +1,8 @@
 """Letter groups and training texts per language."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 
 from galleryloom.llm import langid
@@ -40,3 +43,47 @@ def test_too_many_languages_are_told(spark):
     docs = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(langid.MAX_LANGUAGES + 1)], "text string, lang string")
     with pytest.raises(ValueError, match="languages"):
         langid.fit(docs)
+
+
+def test_keys_are_those_of_the_groups():
+    words = ["a", "ab", "abcd", "ñandú", "собака", "x" * 300]
+    marked = [f"^{w}$" for w in words]
+    keys, counts = langid.gram_keys(marked)
+    groups = [langid.grams_of(w) for w in words]
+    assert counts.tolist() == [len(g) for g in groups]
+    named = {}
+    for gram, key in zip((g for gs in groups for g in gs), keys.tolist()):
+        assert named.setdefault(gram, key) == key
+    assert len(set(named.values())) == len(named)
+    alone, sizes = langid.gram_keys(list(named))
+    assert alone[np.cumsum(sizes) - 1].tolist() == list(named.values())
+
+
+def test_word_scores_equal_plain_sums(spark):
+    train = [("the cat and the dog are here", "en"), ("le chat et le chien sont ici", "fr"), ("это кошка и собака", "ru")] * 3
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    words = ["the", "chat", "кошка", "the", "unseenword", "и", "漢字"]
+    used, scores = model.scorer().word_scores(words)
+    assert used.tolist() == [0, 1, 2]
+    for word, row in zip(words, scores):
+        plain = sum(model.weights[model.rows.get(g, len(model.rows))].astype(float) for g in langid.grams_of(word))
+        allowed = model.scripts.get(langid.script_of(word), np.ones(3, bool))
+        assert np.allclose(row[allowed], plain[allowed], atol=1e-3) and np.isneginf(row[~allowed]).all()
+    assert model.scorer().word_scores(["the", "chat"])[0].tolist() == [0, 1]
+
+
+def test_memory_is_linear_in_languages():
+    """100 languages and 50,000 words: a cell of 4 + 1 bytes per word and language, and tables of a fixed size, within 150 MB."""
+    rng = np.random.default_rng(1)
+    scores = rng.normal(0, 2, (50_000, 100)).astype(np.float32)
+    lengths = np.array([30_000, 1, 0, 19_999])
+    tracemalloc.start()
+    label = langid.viterbi(scores, lengths, 5.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
+    best = np.zeros(100)
+    for row in scores[:30_000].astype(float):
+        best = np.maximum(best, best.max() - 5.0) + row
+    own = label[:30_000]
+    assert abs(scores[np.arange(30_000), own].sum(dtype=float) - 5.0 * (np.diff(own) != 0).sum() - best.max()) < 0.5
