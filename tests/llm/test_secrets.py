@@ -21,7 +21,8 @@ def test_candidates_equal_plain_reading(spark):
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(secrets.candidates(df.t, language).alias("c")).first().c
     assert [(c.value, c.before, c.assigned) for c in got] == [
-        ("abc12345", "password", 1.0), ("ZZ9zz9ZZ9", "api_key", 1.0), ("path/to/file1.txt", "see", 0.0), ("12345678", "plainlongword", 0.0)
+        ("abc12345", "password", 1.0), ("ZZ9zz9ZZ9", "api_key", 1.0), ("path/to/file1.txt", "see", 0.0),
+        ("no-digits-here", "secret", 1.0), ("12345678", "plainlongword", 0.0),
     ]
 
 
