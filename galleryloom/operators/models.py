@@ -7,10 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
     MultilayerPerceptronClassifier,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import LDA, KMeans
@@ -19,7 +16,6 @@ from pyspark.ml.feature import (
     CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
-    IndexToString,
     Normalizer,
     StringIndexer,
     VectorAssembler,
@@ -29,8 +25,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galleryloom.operators import boosting, linear
 from galleryloom.operators import features as ft
 from galleryloom.operators import topics as tp
+from galleryloom.operators.cells import sparse_cells, vector_size
 from galleryloom.operators.keyed import checked_lookup, hash_key, join_lookup
 from galleryloom.session import materialize
 
@@ -52,19 +50,23 @@ class TextFeatures:
     model: PipelineModel
 
     def transform(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Add `features`; the n-gram lists live only inside the job.
+        """Add `features`; the n-gram lists live only inside the job."""
+        return self.weigh(counted(docs, self.families, self.counters(), text), docs.columns)
+
+    def weigh(self, counts: DataFrame, keep: list[str]) -> DataFrame:
+        """`keep` columns and `features` from the counts of `counted`.
 
         The per-feature attributes are dropped: with a large vocabulary they would travel in every plan.
         """
-        kept = docs.columns
-        staged = docs
-        for i, family in enumerate(self.families):
-            staged = ft.with_terms(staged, family, text, tuple(staged.columns)).withColumnRenamed("terms", f"_terms{i}")
         features = F.col("features").alias("features", metadata={"families": [f.unit for f in self.families]})
-        return self.model.transform(staged).select(*kept, features)
+        rest = [s for s in self.model.stages if not isinstance(s, CountVectorizerModel)]
+        return PipelineModel(rest).transform(counts).select(*keep, features)
+
+    def counters(self) -> list[CountVectorizerModel]:
+        return [s for s in self.model.stages if isinstance(s, CountVectorizerModel)]
 
     def size(self) -> int:
-        return sum(len(s.vocabulary) for s in self.model.stages if isinstance(s, CountVectorizerModel))
+        return sum(len(c.vocabulary) for c in self.counters())
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/vectors")
@@ -88,11 +90,9 @@ class TextFeatures:
         return TextFeatures(tuple(families), model)
 
 
-def fit_text_features(
-    train: DataFrame, families: tuple[ft.Family, ...] = (ft.WORDS, ft.CHARS), text: str = "text"
-) -> TextFeatures:
-    """Vocabulary and idf from the train rows; the library's idf lacks the + 1, which is added here."""
-    stages: list = []
+def fit_counters(train: DataFrame, families: tuple[ft.Family, ...], text: str = "text") -> list[CountVectorizerModel]:
+    """The vocabularies of the families, from the train rows."""
+    counters = []
     for i, family in enumerate(families):
         terms = ft.with_terms(train, family, text).select(F.col("terms").alias(f"_terms{i}"))
         counter = CountVectorizer(
@@ -105,16 +105,40 @@ def fit_text_features(
             raise ValueError(
                 f"more than {VOCABULARY_SIZE} terms: a vector model cannot hold them all; give the family max_features or a higher min_df"
             )
-        idf = IDF(inputCol=f"_counts{i}", outputCol="_idf").fit(counter.transform(terms)).idf
+        counters.append(counter)
+    return counters
+
+
+def counted(docs: DataFrame, families: tuple[ft.Family, ...], counters: list[CountVectorizerModel], text: str = "text") -> DataFrame:
+    """The rows with a vector `_counts0` … of term counts per family."""
+    kept, staged = docs.columns, docs
+    for i, (family, counter) in enumerate(zip(families, counters)):
+        staged = ft.with_terms(staged, family, text, tuple(staged.columns)).withColumnRenamed("terms", f"_terms{i}")
+        staged = counter.transform(staged).drop(f"_terms{i}")
+    return staged.select(*kept, *[f"_counts{i}" for i in range(len(families))])
+
+
+def text_features(families: tuple[ft.Family, ...], counters: list[CountVectorizerModel], train_counts: DataFrame) -> TextFeatures:
+    """Vectors of unit length per family from counts; the library's idf lacks the + 1, which is added here."""
+    stages: list = [*counters]
+    for i in range(len(families)):
+        idf = IDF(inputCol=f"_counts{i}", outputCol="_idf").fit(train_counts).idf
         weigh = ElementwiseProduct(
             scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol=f"_counts{i}", outputCol=f"_weighted{i}"
         )
-        unit = Normalizer(p=2.0, inputCol=f"_weighted{i}", outputCol=f"_unit{i}")
-        stages += [counter, weigh, unit]
+        stages += [weigh, Normalizer(p=2.0, inputCol=f"_weighted{i}", outputCol=f"_unit{i}")]
     stages.append(VectorAssembler(inputCols=[f"_unit{i}" for i in range(len(families))], outputCol="features"))
     return TextFeatures(families, PipelineModel(stages))
 
 
+def fit_text_features(
+    train: DataFrame, families: tuple[ft.Family, ...] = (ft.WORDS, ft.CHARS), text: str = "text"
+) -> TextFeatures:
+    """Vocabulary and idf from the train rows."""
+    counters = fit_counters(train, families, text)
+    return text_features(families, counters, counted(train, families, counters, text))
+
+
 def label_indexer(train: DataFrame, label: str) -> Model:
     """Classes as text in text order; labels not seen in training are an error."""
     return StringIndexer(
@@ -142,25 +166,41 @@ def vectors_from_long(docs: DataFrame, cells: DataFrame, size: int, key: str = "
 class TextClassifier:
     """A fitted classifier with its class names; input rows carry `features`."""
 
-    classifier: Model
+    classifier: Model | linear.LinearModels | boosting.BoostedTrees
     classes: list[str]
 
     def predict(self, rows: DataFrame, key: str = "key", label: str = "label") -> DataFrame:
         """(image_name, true, pred)."""
-        names = IndexToString(inputCol="prediction", outputCol="pred", labels=self.classes)
-        scored = names.transform(self.classifier.transform(rows))
+        names = F.array(*[F.lit(c) for c in self.classes])
+        scored = self.classifier.transform(rows).withColumn("pred", F.get(names, F.col("prediction").cast("int")))
         return scored.select(F.col(key).alias("image_name"), F.col(label).cast("string").alias("true"), "pred")
 
     def save(self, path: str) -> None:
-        PipelineModel([self.classifier, IndexToString(inputCol="prediction", outputCol="pred", labels=self.classes)]).write().overwrite().save(path)
+        spark = SparkSession.getActiveSession()
+        kind = type(self.classifier).__name__
+        own = [k for k in OWN_MODELS if isinstance(self.classifier, k)]
+        spark.createDataFrame([(kind if own else "pipeline", self.classes)], "kind string, classes array<string>").write.mode("overwrite").parquet(f"{path}/about")
+        if own:
+            self.classifier.save(spark, f"{path}/model")
+        else:
+            PipelineModel([self.classifier]).write().overwrite().save(f"{path}/model")
 
     @staticmethod
     def load(path: str) -> TextClassifier:
-        classifier, names = PipelineModel.load(path).stages
-        return TextClassifier(classifier, names.getLabels())
+        spark = SparkSession.getActiveSession()
+        about = spark.read.parquet(f"{path}/about").first()
+        own = {k.__name__: k for k in OWN_MODELS}
+        if about.kind in own:
+            return TextClassifier(own[about.kind].load(spark, f"{path}/model"), about.classes)
+        return TextClassifier(PipelineModel.load(f"{path}/model").stages[0], about.classes)
 
     def params(self) -> dict[str, str]:
-        return {p.name: str(v) for p, v in self.classifier.extractParamMap().items()}
+        if isinstance(self.classifier, Model):
+            return {p.name: str(v) for p, v in self.classifier.extractParamMap().items()}
+        return {"kind": type(self.classifier).__name__, "classes": str(len(self.classes))}
+
+
+OWN_MODELS = (linear.LinearModels, boosting.BoostedTrees)
 
 
 def _prepared(train: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
@@ -168,16 +208,19 @@ def _prepared(train: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     return indexer.transform(with_class_weight(train, label)), indexer.labels
 
 
-def train_linear_svc(
-    train: DataFrame, label: str = "label", c: float = 5.0, max_iter: int = 100, parallelism: int = 4
-) -> TextClassifier:
-    """One-vs-rest linear SVM with balanced weights; the weights sum to N, so lambda = 1 / (C N)."""
+def _width(rows: DataFrame) -> int:
+    """Number of features; all rows of a vector column have the same."""
+    first = rows.select(vector_size("features").alias("n")).first()
+    return first.n if first else 0
+
+
+def train_linear_svc(train: DataFrame, label: str = "label", c: float = 5.0, max_iter: int = 100) -> TextClassifier:
+    """One-vs-rest linear machines with balanced weights and squared hinge, all classes in one pass per iteration."""
     rows, classes = _prepared(train, label)
-    svm = LinearSVC(regParam=1.0 / (c * max(rows.count(), 1)), maxIter=max_iter, standardization=False)
-    model = OneVsRest(
-        classifier=svm, labelCol="class_index", featuresCol="features", weightCol="weight", parallelism=parallelism
-    ).fit(rows)
-    return TextClassifier(model, classes)
+    positions, values = sparse_cells("features")
+    cells = rows.select(F.col("class_index").cast("int").alias("label"), "weight", positions.alias("positions"), values.alias("values"))
+    layout = linear.Layout((0, _width(rows)))
+    return TextClassifier(linear.fit(linear.make_blocks(cells, layout), layout, len(classes), c, max_iter), classes)
 
 
 def train_random_forest(
@@ -192,29 +235,16 @@ def train_random_forest(
 
 
 def train_boosted_trees(
-    train: DataFrame,
-    label: str = "label",
-    key: str = "key",
-    rounds: int = 2000,
-    depth: int = 6,
-    step: float = 0.1,
-    seed: int = 42,
-    parallelism: int = 4,
+    train: DataFrame, label: str = "label", key: str = "key", rounds: int = 2000, depth: int = 6, step: float = 0.1, seed: int = 42
 ) -> TextClassifier:
-    """One-vs-rest boosting with early stopping on a validation slice hashed out of the train rows."""
+    """Softmax boosting of all classes, stopped by the loss of a validation slice hashed out of the train rows."""
     rows, classes = _prepared(train, label)
     # The first hex digits of the hash are uniform: a fixed share without counting or ranking. The
     # seed differs from the split's, whose train rows all have high hashes.
     slot = F.conv(F.substring(hash_key(key, seed + 1), 1, 4), 16, 10).cast("int")
-    rows = rows.withColumn("validation", slot < int(VALIDATION_FRACTION * 65536))
-    boosted = GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed,
-        validationIndicatorCol="validation",
-    )
-    model = OneVsRest(
-        classifier=boosted, labelCol="class_index", featuresCol="features", weightCol="weight", parallelism=parallelism
-    ).fit(rows)
-    return TextClassifier(model, classes)
+    marked = rows.select("features", F.col("class_index").alias("label"), "weight", (slot < int(VALIDATION_FRACTION * 65536)).alias("valid"))
+    law = boosting.Settings(rounds=rounds, depth=depth, step=step, seed=seed)
+    return TextClassifier(boosting.fit(marked, len(classes), _width(rows), law), classes)
 
 
 def train_mlp(
