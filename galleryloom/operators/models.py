@@ -6,10 +6,7 @@ import math
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import (
     IDF,
@@ -25,7 +22,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galleryloom.operators import boosting, linear
+from galleryloom.operators import boosting, linear, network
 from galleryloom.operators import features as ft
 from galleryloom.operators import topics as tp
 from galleryloom.operators.cells import sparse_cells, vector_size
@@ -166,7 +163,7 @@ def vectors_from_long(docs: DataFrame, cells: DataFrame, size: int, key: str = "
 class TextClassifier:
     """A fitted classifier with its class names; input rows carry `features`."""
 
-    classifier: Model | linear.LinearModels | boosting.BoostedTrees
+    classifier: Model | linear.LinearModels | boosting.BoostedTrees | network.Network
     classes: list[str]
 
     def predict(self, rows: DataFrame, key: str = "key", label: str = "label") -> DataFrame:
@@ -200,7 +197,7 @@ class TextClassifier:
         return {"kind": type(self.classifier).__name__, "classes": str(len(self.classes))}
 
 
-OWN_MODELS = (linear.LinearModels, boosting.BoostedTrees)
+OWN_MODELS = (linear.LinearModels, boosting.BoostedTrees, network.Network)
 
 
 def _prepared(train: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
@@ -208,6 +205,15 @@ def _prepared(train: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     return indexer.transform(with_class_weight(train, label)), indexer.labels
 
 
+def _validation(key: str, seed: int) -> Column:
+    """True for a fixed share of the rows: the first hex digits of the hash are uniform, so nothing is counted or ranked.
+
+    The seed differs from the split's, whose train rows all have high hashes.
+    """
+    slot = F.conv(F.substring(hash_key(key, seed + 1), 1, 4), 16, 10).cast("int")
+    return slot < int(VALIDATION_FRACTION * 65536)
+
+
 def _width(rows: DataFrame) -> int:
     """Number of features; all rows of a vector column have the same."""
     first = rows.select(vector_size("features").alias("n")).first()
@@ -239,31 +245,18 @@ def train_boosted_trees(
 ) -> TextClassifier:
     """Softmax boosting of all classes, stopped by the loss of a validation slice hashed out of the train rows."""
     rows, classes = _prepared(train, label)
-    # The first hex digits of the hash are uniform: a fixed share without counting or ranking. The
-    # seed differs from the split's, whose train rows all have high hashes.
-    slot = F.conv(F.substring(hash_key(key, seed + 1), 1, 4), 16, 10).cast("int")
-    marked = rows.select("features", F.col("class_index").alias("label"), "weight", (slot < int(VALIDATION_FRACTION * 65536)).alias("valid"))
+    marked = rows.select("features", F.col("class_index").alias("label"), "weight", _validation(key, seed).alias("valid"))
     law = boosting.Settings(rounds=rounds, depth=depth, step=step, seed=seed)
     return TextClassifier(boosting.fit(marked, len(classes), _width(rows), law), classes)
 
 
 def train_mlp(
-    train: DataFrame,
-    label: str = "label",
-    hidden: tuple[int, ...] = (512, 256),
-    max_iter: int = 100,
-    seed: int = 42,
-    size: int = ft.PROJECTION_SIZE,
+    train: DataFrame, label: str = "label", hidden: tuple[int, ...] = (512, 256), max_iter: int = 100, seed: int = 42, size: int = ft.PROJECTION_SIZE, key: str = "key"
 ) -> TextClassifier:
-    """Dense network; the classifier has no weight column, so rare classes repeat their rows."""
+    """Dense network with ReLU, dropout and class weights, stopped by a validation slice hashed out of the train rows."""
     rows, classes = _prepared(train, label)
-    smallest = rows.agg(F.min("weight")).scalar()
-    copies = F.greatest(F.round(F.col("weight") / smallest), F.lit(1)).cast("int")
-    balanced = rows.select("class_index", "features", F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
-    network = MultilayerPerceptronClassifier(
-        labelCol="class_index", layers=[size, *hidden, len(classes)], maxIter=max_iter, seed=seed
-    )
-    return TextClassifier(network.fit(balanced.drop("_copy")), classes)
+    marked = rows.select("features", F.col("class_index").alias("label"), "weight", _validation(key, seed).alias("valid"))
+    return TextClassifier(network.fit(marked, len(classes), size, network.Settings(hidden=hidden, epochs=max_iter, seed=seed)), classes)
 
 
 def score_argmax(scores: DataFrame, probabilities: str | Column, classes: list[str], keep: tuple[str, ...]) -> DataFrame:
