@@ -15,6 +15,10 @@ HOT_KEYS = 4096
 SALTS = 64
 HASH_BUCKET_DIGITS = 4
 CARRY_BLOCK = 4096
+# Ranks are searched through histograms of so many bins; bins of up to so many rows are sorted.
+RANK_BINS = 4096
+RANK_ROWS = 10_000
+RANK_ROUNDS = 200
 
 
 def fits_broadcast(lookup: DataFrame) -> bool:
@@ -110,6 +114,61 @@ def hash_cutoff(df: DataFrame, key: str, quotas: DataFrame, strata: list[str]) -
     )
 
 
+def _scaled(x: Column) -> Column:
+    """A logarithm that keeps the order of all doubles: from the largest negative ones over 0 to the largest."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log(F.abs(x)) + 800.0))
+
+
+def quantile_values(
+    df: DataFrame, group: str, value: str, quantile: float, spread: str, bins: int = RANK_BINS, few: int = RANK_ROWS
+) -> DataFrame:
+    """(group, n, limit): rows per group and the smallest value that at least `quantile` of its values do not exceed.
+
+    Exact at any size: a histogram between the least and largest open value of each group gives the bin that holds the wanted rank, whose own
+    bounds are opened next. Bins of one value, or of up to `few` rows, end the search; only the latter are sorted. NULL values
+    count as rows, not as values.
+    """
+    v = F.col(value)
+    found = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("_m"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+    rank = F.greatest(F.ceil(F.lit(float(quantile)) * F.col("_m")), F.lit(1)).cast("long")
+    state = materialize(found.withColumn("_rank", rank), "ranks")
+    wide = (F.col("_low") < F.col("_high")) & (F.col("_m") > few)
+    for _ in range(RANK_ROUNDS):
+        opened = state.where(wide)
+        if opened.isEmpty():
+            break
+        bounds = opened.select(F.col(group).alias("_group"), "_low", "_high")
+        inside = join_lookup(df.select(F.col(group).alias("_group"), v.alias("_value"), spread), bounds, "_group", spread=spread)
+        inside = inside.where(F.col("_value").between(F.col("_low"), F.col("_high")))
+        # Equal steps of the logarithm while the bounds are more than a factor apart, else of the value.
+        far = _scaled(F.col("_high")) - _scaled(F.col("_low")) > 1
+        value_share = (F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        scaled_share = (_scaled(F.col("_value")) - _scaled(F.col("_low"))) / (_scaled(F.col("_high")) - _scaled(F.col("_low")))
+        share = F.when(far, scaled_share).otherwise(value_share)
+        bin_ = F.least(F.floor(share * bins), F.lit(bins - 1))
+        counted = inside.groupBy("_group", bin_.alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_in"), F.min("_value").alias("_from"), F.max("_value").alias("_to")
+        )
+        upto = counted.withColumn("_upto", F.sum("_in").over(Window.partitionBy("_group").orderBy("_bin")))
+        picked = upto.join(F.broadcast(opened) if fits_broadcast(opened) else opened, F.col("_group").eqNullSafe(F.col(group)))
+        picked = picked.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_in") < F.col("_rank")))
+        narrowed = picked.select(
+            group, "n", F.col("_in").alias("_m"), F.col("_from").alias("_low"), F.col("_to").alias("_high"),
+            (F.col("_rank") - F.col("_upto") + F.col("_in")).alias("_rank"),
+        )
+        state = materialize(state.where(~wide | wide.isNull()).unionByName(narrowed), "ranks")
+    else:
+        raise RuntimeError("ranks did not settle")
+    left = state.where(F.col("_low") < F.col("_high"))
+    bounds = left.select(F.col(group).alias("_group"), "_low", "_high", "_rank", F.col("n").alias("_n"))
+    rows = join_lookup(df.select(F.col(group).alias("_group"), v.alias("_value"), spread), materialize(bounds, "rank-bounds"), "_group", spread=spread)
+    rows = rows.where(F.col("_value").between(F.col("_low"), F.col("_high")))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_group").orderBy("_value")))
+    sorted_out = placed.where(F.col("_place") == F.col("_rank")).select(F.col("_group").alias(group), F.col("_n").alias("n"), F.col("_value").alias("limit"))
+    settled = state.where("_low = _high OR _low IS NULL").select(group, "n", F.col("_low").alias("limit"))
+    return settled.unionByName(sorted_out)
+
+
 def carry_forward(
     df: DataFrame, group: list[str], line: str, value: str, out: str, inclusive: bool = True
 ) -> DataFrame:

@@ -396,9 +396,10 @@ def cluster_docs(vectors: DataFrame, k: int, key: str = "key", quantile: float =
     unit = Normalizer(p=2.0, inputCol="features", outputCol="_unit")
     kmeans = KMeans(k=k, seed=seed, featuresCol="_unit", predictionCol="cluster")
     model = Pipeline(stages=[unit, kmeans]).fit(vectors)
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.stages[-1].clusterCenters()])
-    assigned = model.transform(vectors).select(key, "cluster", vector_to_array("_unit").alias("_v"))
-    gaps = F.zip_with("_v", F.get(centers, F.col("cluster")), lambda a, b: (a - b) * (a - b))
+    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.stages[-1].clusterCenters())]
+    table = vectors.sparkSession.createDataFrame(centers, "cluster int, _center array<double>")
+    assigned = join_lookup(model.transform(vectors).select(key, "cluster", vector_to_array("_unit").alias("_v")), table, "cluster", spread=key)
+    gaps = F.zip_with("_v", "_center", lambda a, b: (a - b) * (a - b))
     distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x))
     placed = materialize(assigned.select(key, "cluster", distance.alias("distance")), "clusters")
     return tp.relabel_by_size(placed, "cluster", "distance", quantile).select(key, "topic")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleryloom.functions.text import word_tokens
-from galleryloom.operators.keyed import checked_lookup, join_lookup, place_by_key, unroll
+from galleryloom.operators.keyed import checked_lookup, join_lookup, place_by_key, quantile_values, unroll
 from galleryloom.session import materialize
 
 NOISE = -1
@@ -123,11 +123,10 @@ def list_topic_ids(docs: DataFrame, topic: str = "topic") -> DataFrame:
 def relabel_by_size(assigned: DataFrame, cluster: str, distance: str, quantile: float = 0.95) -> DataFrame:
     """Topics from clusters: 0 is the largest; rows beyond their cluster's distance quantile are noise.
 
-    The quantile is approximate in the engine's mergeable sketch; a cluster is never sorted whole.
+    The quantile is exact: its rank is found through histograms, so a cluster is never sorted whole.
     """
-    stats = assigned.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(distance, F.lit(quantile), F.lit(100_000)).alias("_limit")
-    )
+    limits = quantile_values(assigned, cluster, distance, quantile, distance)
+    stats = limits.select(cluster, F.col("n").alias("_n"), F.col("limit").alias("_limit"))
     # One row per cluster reaches this window.
     ranked = stats.withColumn("_topic", F.row_number().over(Window.orderBy(F.desc("_n"), cluster)) - 1)
     joined = join_lookup(assigned, checked_lookup(ranked, "clusters"), cluster, spread=distance)

@@ -161,3 +161,21 @@ def test_three_way_split_counts_an_image_once(spark):
     once = images(spark, {"a": 900})
     twice = split_of(splits.three_way_split(once.union(once.limit(300)), "image_name"))
     assert twice == split_of(splits.three_way_split(once, "image_name"))
+
+
+@pytest.mark.parametrize("bins, few", [(64, 2), (4096, 10_000)])
+def test_quantile_is_exact(spark, bins, few):
+    draw = random.Random(3)
+    groups = {
+        "a": [draw.gauss(0, 1e-3) for _ in range(400)], "b": [draw.choice([1.0, 1.0, 2.0]) for _ in range(300)], "c": [7.5], "d": [None, None],
+        "e": [10.0 ** draw.randint(-300, 300) for _ in range(200)] + [None] * 9, "f": [-1.5] * 50 + [0.0, 3.0], "g": [1e308, -1e308, 0.0, 5.0, 6.0],
+    }
+    rows = [(g, x) for g, xs in groups.items() for x in xs]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, x double")
+    for q in (0.5, 0.95):
+        got = {r.g: (r.n, r["limit"]) for r in keyed.quantile_values(df, "g", "x", q, "x", bins, few).collect()}
+        for g, xs in groups.items():
+            known = sorted(x for x in xs if x is not None)
+            want = known[max(math.ceil(q * len(known)), 1) - 1] if known else None
+            assert got[g] == (len(xs), want), (g, q)
