@@ -126,31 +126,29 @@ def drop_unmapped(spark, sf):
     return collate.drop_unmapped(_labelled(spark, sf)).select("image_name", "topic_raw", "new_topic_num")
 
 
+TOPICS = 64  # the components of an embedding
+
+
 def topic_proportions(spark, sf):
-    """embeddings as topic proportions: softmax of the first ten components."""
-    e = F.col("embedding")
-    raised = [F.exp(e[i].cast("double")) for i in range(10)]
-    staged = fx.table(spark, sf, "embeddings").select("vec_id", "label", *[x.alias(f"x{i}") for i, x in enumerate(raised)])
-    total = sum((F.col(f"x{i}") for i in range(1, 10)), F.col("x0"))
-    return staged.withColumn("total", total).select(
-        F.col("vec_id"),
-        F.concat(F.lit("img_"), F.col("vec_id").cast("string")).alias("image_name"),
-        "label",
-        *[(F.col(f"x{i}") / F.col("total")).alias(f"topic_{i}") for i in range(10)],
-    )
+    """embeddings as topic proportions: softmax of all components."""
+    raised = F.transform("embedding", lambda x: F.exp(x.cast("double")))
+    staged = fx.table(spark, sf, "embeddings").select("vec_id", "label", raised.alias("x"))
+    summed = staged.withColumn("total", F.aggregate("x", F.lit(0.0), lambda s, x: s + x))
+    shares = summed.select("vec_id", F.concat(F.lit("img_"), F.col("vec_id").cast("string")).alias("image_name"), "label", F.transform("x", lambda x: x / F.col("total")).alias("p"))
+    return shares.select("*", *[F.get("p", i).alias(f"topic_{i}") for i in range(TOPICS)])
 
 
 PROBS_SQL = (
     "WITH raised AS (SELECT vec_id, label, "
-    + ", ".join(f"exp(CAST(embedding[{i + 1}] AS DOUBLE)) AS x{i}" for i in range(10))
+    + ", ".join(f"exp(CAST(embedding[{i + 1}] AS DOUBLE)) AS x{i}" for i in range(TOPICS))
     + " FROM embeddings), summed AS (SELECT *, "
-    + " + ".join(f"x{i}" for i in range(10))
+    + " + ".join(f"x{i}" for i in range(TOPICS))
     + " AS total FROM raised), probs AS (SELECT vec_id, 'img_' || vec_id AS image_name, label, "
-    + ", ".join(f"x{i} / total AS topic_{i}" for i in range(10))
+    + ", ".join(f"x{i} / total AS topic_{i}" for i in range(TOPICS))
     + " FROM summed)"
 )
-_BEST = "greatest(" + ", ".join(f"topic_{i}" for i in range(10)) + ")"
-ARGMAX_SQL = "CASE " + " ".join(f"WHEN topic_{i} = {_BEST} THEN {i}" for i in range(10)) + " END"
+_BEST = "greatest(" + ", ".join(f"topic_{i}" for i in range(TOPICS)) + ")"
+ARGMAX_SQL = "CASE " + " ".join(f"WHEN topic_{i} = {_BEST} THEN {i}" for i in range(TOPICS)) + " END"
 
 
 @query(
@@ -164,7 +162,7 @@ ARGMAX_SQL = "CASE " + " ".join(f"WHEN topic_{i} = {_BEST} THEN {i}" for i in ra
 FROM labelled l JOIN picked ON picked.image_name = l.image_name""",
 )
 def dominant_prob(spark, sf):
-    proportions = topic_proportions(spark, sf).drop("vec_id", "label")
+    proportions = topic_proportions(spark, sf).drop("vec_id", "label", "p")
     labels = collate.collate_labels(proportions, collate.invert_mapping(collate.mapping_table(spark)))
     return labels.withColumn("dominant_prob", F.round("dominant_prob", 6))
 

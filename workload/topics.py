@@ -8,7 +8,7 @@ from galleryloom.functions.text import word_tokens
 from galleryloom.operators import topics as tp
 from galleryloom.operators.keyed import place_by_key
 from workload import fixtures as fx
-from workload.tables import PROBS_SQL, topic_proportions
+from workload.tables import PROBS_SQL, TOPICS, topic_proportions
 from workload.text import TOKS, content_tokens
 
 QUERIES: dict = {}
@@ -115,7 +115,7 @@ def list_topic_ids(spark, sf):
     "topic_summary",
     PROBS_SQL
     + ", dominant AS (SELECT CASE "
-    + " ".join(f"WHEN topic_{i} >= greatest({', '.join(f'topic_{j}' for j in range(10))}) THEN {i}" for i in range(10))
+    + " ".join(f"WHEN topic_{i} >= greatest({', '.join(f'topic_{j}' for j in range(TOPICS))}) THEN {i}" for i in range(TOPICS))
     + " END AS topic FROM probs), coverage AS (SELECT t.topic, count(dominant.topic) AS doc_count"
     + " FROM (SELECT CAST(unnest(range(12)) AS INTEGER) AS topic) t LEFT JOIN dominant ON dominant.topic = t.topic GROUP BY t.topic), "
     + _CTFIDF.replace("WITH ", "", 1)
@@ -129,7 +129,7 @@ def topic_summary(spark, sf):
 
 
 def _dominant(spark, sf):
-    topic, prob = tp.dominant(F.array(*[F.col(f"topic_{i}") for i in range(10)]))
+    topic, prob = tp.dominant("p")
     return topic_proportions(spark, sf).select("image_name", topic.alias("topic"), prob.alias("prob"))
 
 
@@ -140,7 +140,7 @@ def _coverage(spark, sf):
 _PICKED = (
     PROBS_SQL
     + ", picked AS (SELECT image_name, list_position(p, list_max(p)) - 1 AS topic, list_max(p) AS prob FROM (SELECT image_name, ["
-    + ", ".join(f"topic_{i}" for i in range(10))
+    + ", ".join(f"topic_{i}" for i in range(TOPICS))
     + "] AS p FROM probs))"
 )
 
