@@ -140,37 +140,36 @@ class Automaton:
         return [tuple(s) for s in spans], found
 
 
+def _found(automaton: Automaton, text: str | None) -> tuple[int, int, list[str], list[dict]]:
+    """(words, words hit, items, spans) of a text."""
+    words = words_of(text)
+    spans, found = automaton.scan(words)
+    names = sorted({automaton.names[i] for i in found})
+    return len(words), sum(e - s for s, e, _ in spans), names, [{"start": s, "end": e, "longest": n} for s, e, n in spans]
+
+
 def _matches(text: Column, items: list[tuple[str, str]], window: int) -> Column:
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = Automaton([(name, words_of(t)) for name, t in items], window)
         for texts in batches:
-            out = []
-            for text in texts:
-                words = words_of(text)
-                spans, found = automaton.scan(words)
-                names = sorted({automaton.names[i] for i in found})
-                out.append((len(words), sum(e - s for s, e, _ in spans), names, [{"start": s, "end": e, "longest": n} for s, e, n in spans]))
-            yield pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"])
+            yield pd.DataFrame([_found(automaton, text) for text in texts], columns=["n_words", "n_hit", "items", "spans"])
 
     return run(text)
 
 
 def item_slices(items: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = SLICE_BYTES) -> list:
-    """Test items in slices of at most `limit` bytes, each small enough for one automaton in a task.
+    """Test items in slices of about `limit` bytes, each small enough for one automaton in a task.
 
-    Items without id or words are left out. The set of test items is checked against the limit here; a
-    larger one gives more slices, never a larger broadcast.
+    Returns functions that read a slice, so that only one at a time is on the driver. Items without id or words
+    are left out.
     """
-    named = items.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).alias("text"))
-    named = named.where("name IS NOT NULL AND text IS NOT NULL")
+    named = items.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("name IS NOT NULL AND text IS NOT NULL")
     size = named.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     count = max(1, -(-int(size) // limit))
     marked = named.withColumn("slice", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
-    if count == 1:
-        return [[tuple(r) for r in named.collect()]]
-    marked = materialize(marked, "items")
-    return [[(r.name, r.text) for r in marked.where(F.col("slice") == i).collect()] for i in range(count)]
+    marked = materialize(marked, "items") if count > 1 else marked
+    return [lambda i=i: [(r.name, r.text) for r in marked.where(F.col("slice") == i).select("name", "text").collect()] for i in range(count)]
 
 
 def _combine(columns: list[Column]) -> Column:
@@ -210,8 +209,13 @@ def with_matches(
     """
     arrow_batches(docs.sparkSession)
     slices = item_slices(items, item_col, "text", slice_bytes)
+    if len(slices) == 1:
+        return docs.withColumn(out, _matches(F.col(text_col), slices[0](), window))
+    # One slice after the other: its automata are gone before those of the next are built.
     names = [f"_llm_slice_{i}" for i in range(len(slices))]
-    found = docs.select("*", *[_matches(F.col(text_col), s, window).alias(n) for s, n in zip(slices, names)])
+    found = docs
+    for name, read in zip(names, slices):
+        found = materialize(found.withColumn(name, _matches(F.col(text_col), read(), window)), "slice-matches")
     return found.withColumn(out, _combine([F.col(n) for n in names])).drop(*names)
 
 
@@ -234,19 +238,34 @@ def decontaminate(
     Spans of at least `window` matched words (or whole shorter items) are cut out of the text; a document with a share of
     hit words of `max_coverage` or more is dropped. Documents without a hit are returned as they are.
     """
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, spans)], dtype=object)
-
-    found = with_matches(docs, items, "_llm_matches", text_col, window=window)
-    hit = F.col("_llm_matches.n_hit")
-    kept = found.where((hit == 0) | (hit < max_coverage * F.col("_llm_matches.n_words")))
-    # Only texts with hits go through the second function: of the others it gets NULL and an empty list.
-    touched = F.when(hit > 0, F.col(text_col))
-    cleaned = kept.withColumn("_llm_cut", cut(F.coalesce(touched, F.lit("")), F.col("_llm_matches.spans")))
-    text = F.when(hit > 0, F.col("_llm_cut")).otherwise(F.col(text_col))
-    return cleaned.withColumn(text_col, text).select(*docs.columns)
+    arrow_batches(docs.sparkSession)
+    slices = item_slices(items)
+    if len(slices) > 1:
+        found = with_matches(docs, items, "_llm_matches", text_col, window=window)
+
+        @F.pandas_udf("string")
+        def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+            return pd.Series([cut_spans(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, spans)], dtype=object)
+
+        hit, words = F.col("_llm_matches.n_hit"), F.col("_llm_matches.n_words")
+        cleaned = found.where((hit == 0) | (hit < max_coverage * words)).withColumn("_llm_cut", cut(F.coalesce(F.col(text_col), F.lit("")), "_llm_matches.spans"))
+        return cleaned.withColumn(text_col, F.when(hit > 0, F.col("_llm_cut")).otherwise(F.col(text_col))).select(*docs.columns)
+    listed = slices[0]()
+
+    @F.pandas_udf("struct<kept:boolean,cut:string>")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = Automaton([(name, words_of(t)) for name, t in listed], window)
+        for texts in batches:
+            out = []
+            for text in texts:
+                words, hit, _, spans = _found(automaton, text)
+                kept = hit == 0 or hit < max_coverage * words
+                out.append((kept, cut_spans(text, [(s["start"], s["end"]) for s in spans]) if kept and hit else None))
+            yield pd.DataFrame(out, columns=["kept", "cut"])
+
+    # Not deterministic in name only: the optimizer would else run the function once for the filter and once for the text.
+    found = docs.withColumn("_llm_clean", clean.asNondeterministic()(F.col(text_col))).where("_llm_clean.kept")
+    return found.withColumn(text_col, F.coalesce(F.col("_llm_clean.cut"), F.col(text_col))).select(*docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir):
