@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
 import re
+from string import ascii_lowercase
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galleryloom.llm import secret_forms
 from galleryloom.llm.common import table
 from galleryloom.session import materialize
 
@@ -28,9 +32,14 @@ WORD_AND_NUMBER = "^[A-Za-z]+[0-9]{1,3}$"
 # Keys in base 64 may look like paths; the parts of a path consist of words or of common letter pairs to this share.
 PATH = "^([A-Za-z0-9_.-]*/)+[A-Za-z0-9_.-]*$"
 PATH_WORDS, PATH_PAIRS = 0.25, 0.35
+# The word before a candidate is hashed into so many flags.
+BEFORE_BUCKETS = 16
+URL_PASSWORD = "//[^/@:]+:[^/@]+@|^[^/@:]+:[^/@]+@"
+JWT = r"^eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}$"
 FEATURES = (
     "length", "digits", "capitals", "small", "others", "class_changes", "common_pairs", "dictionary", "slashes", "dots", "at_sign",
-    "distinct", "hexadecimal", "numeric", "credential_before", "assigned", "quoted", "credential_near",
+    "distinct", "hexadecimal", "numeric", "credential_before", "assigned", "quoted", "credential_near", "issued", "url_password", "plain_pairs",
+    *(f"before_{i}" for i in range(BEFORE_BUCKETS)),
 )
 
 
@@ -50,8 +59,13 @@ def _any_of(items: list[str]) -> str:
 class Language:
     """Common words and letter pairs of the corpus, as patterns."""
 
-    def __init__(self, words: list[str], pairs: list[str]):
-        self.words, self.pairs = _any_of(words), f"(?=({_any_of(pairs)}))"
+    def __init__(self, words: list[str], pairs: list[str], counts: dict[str, int] | None = None):
+        self.words, self.pairs, self.common = _any_of(words), f"(?=({_any_of(pairs)}))", list(words)
+        counts = counts or dict.fromkeys(pairs, 1)
+        every = [a + b for a in ascii_lowercase for b in ascii_lowercase]
+        total = sum(counts.get(p, 0) for p in every) + len(every)
+        # Log probability of a letter pair, by 26 x first + second letter.
+        self.logs = [math.log((counts.get(p, 0) + 1) / total) for p in every]
 
     @classmethod
     def learn(cls, docs: DataFrame, text_col: str = "text") -> Language:
@@ -61,8 +75,9 @@ class Language:
         top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word").collect()
         pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2))))
         pairs = counts.select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
-        found = pairs.orderBy(F.desc("n"), "pair").limit(LETTER_PAIRS).select("pair").collect()
-        return cls([r.word for r in top], [r.pair for r in found])
+        # Pairs of a-z: 676 rows at most.
+        found = sorted(pairs.collect(), key=lambda r: (-r.n, r.pair))
+        return cls([r.word for r in top], [r.pair for r in found[:LETTER_PAIRS]], {r.pair: r.n for r in found})
 
 
 # A sign or a piece between blanks, quotes and brackets, with the quote before it; marks that may cut a piece further.
@@ -80,6 +95,7 @@ def candidates(text: Column, language: Language) -> Column:
     on if it has a digit or follows a credential word and its sign, or Bearer. `before` is the name, or the word before the token or before its sign.
     """
     wanted = f"(?i)[0-9]|(?:{CREDENTIAL_WORDS})[=:]"
+    logs = F.from_json(F.lit(json.dumps(language.logs)), "array<double>")
 
     def context(token: Column, last: Column, further: Column, after: Column, quoted: Column) -> Column:
         sign = last.rlike(SIGN)
@@ -120,6 +136,10 @@ def candidates(text: Column, language: Language) -> Column:
         size = F.length(value).cast("double")
         classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "\u0001"), "[A-Z]+", "\u0002"), "[0-9]+", "\u0003")
         flag = lambda x: x.cast("double")
+        letters = F.regexp_extract_all(F.lower(value), F.lit("(?=([a-z]{2}))"), F.lit(1))
+        log = lambda p: F.get(logs, (F.ascii(p) - 97) * 26 + F.ascii(F.substring(p, 2, 1)) - 97)
+        plain = F.aggregate(letters, F.lit(0.0), lambda a, p: a + log(p)) / F.greatest(F.size(letters), F.lit(1))
+        bucket = F.crc32(F.lower(c["before"]).cast("binary")) % BEFORE_BUCKETS
         columns = {
             "length": F.log2(size), "digits": _count(value, "[0-9]") / size, "capitals": _count(value, "[A-Z]") / size,
             "small": _count(value, "[a-z]") / size, "others": _count(value, "[^A-Za-z0-9]") / size, "class_changes": F.length(classes) / size,
@@ -129,6 +149,8 @@ def candidates(text: Column, language: Language) -> Column:
             "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(64.0)), "hexadecimal": flag(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
             "numeric": flag(value.rlike("^[0-9.,:()+-]+$")), "credential_before": flag(c["before"].rlike(f"(?i)(^|[_-])({CREDENTIAL_WORDS})$")),
             "assigned": flag(c["assigned"]), "quoted": flag(c["quoted"]), "credential_near": flag(c["near"].rlike(f"(?i)\\b({CREDENTIAL_WORDS})\\b")),
+            "issued": flag(value.rlike(f"{KEY_SHAPES}|{JWT}")), "url_password": flag(value.rlike(URL_PASSWORD)), "plain_pairs": plain,
+            **{f"before_{i}": flag(bucket == i) for i in range(BEFORE_BUCKETS)},
         }
         return F.struct(value.alias("value"), c["before"].alias("before"), *[columns[f].cast("double").alias(f) for f in FEATURES])
 
@@ -198,18 +220,37 @@ class Forest:
         return cls([parse_tree(t.toDebugString) for t in forest.fit(rows).trees])
 
     def score(self, candidate: Column) -> Column:
-        """Share of the trees that vote for a secret."""
-
-        def grow(node) -> Column:
-            if not isinstance(node, tuple):
-                return F.lit(float(node))
-            feature, bound, left, right = node
-            return F.when(candidate[FEATURES[feature]] <= bound, grow(left)).otherwise(grow(right))
-
-        total = grow(self.trees[0])
-        for tree in self.trees[1:]:
-            total = total + grow(tree)
-        return total / len(self.trees)
+        """Share of the trees that vote for a secret: the nodes are literal arrays that are walked from each root."""
+        feature, bound, right, roots = [], [], [], []
+
+        def lay(node) -> None:
+            """Nodes in the order of a walk: the left one stands behind its parent; leaves have feature -1 and their vote as bound."""
+            here = len(feature)
+            leaf = not isinstance(node, tuple)
+            feature.append(-1 if leaf else node[0])
+            bound.append(float(node) if leaf else node[1])
+            right.append(0)
+            if not leaf:
+                lay(node[2])
+                right[here] = len(feature)
+                lay(node[3])
+
+        for tree in self.trees:
+            roots.append(len(feature))
+            lay(tree)
+        literal = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+        features, bounds, rights = literal(feature, "int"), literal(bound, "double"), literal(right, "int")
+        steps = F.sequence(F.lit(1), F.lit(DEPTH))
+
+        def step(x: Column, n: Column) -> Column:
+            own = F.get(features, n)
+            return F.when(own < 0, n).when(F.get(x, own) <= F.get(bounds, n), n + 1).otherwise(F.get(rights, n))
+
+        def votes(x: Column) -> Column:
+            leaf = lambda root: F.aggregate(steps, root, lambda n, _: step(x, n))
+            return F.aggregate(literal(roots, "int"), F.lit(0.0), lambda total, root: total + F.get(bounds, leaf(root)))
+
+        return _let(F.array(*[candidate[f] for f in FEATURES]), votes) / len(self.trees)
 
 
 def parse_tree(text: str):
@@ -256,10 +297,25 @@ def redact(docs: DataFrame, language: Language, forest: Forest | None, text_col:
     return found.withColumn(text_col, text).select(*docs.columns)
 
 
+def taught_findings(spark, language: Language, rows: list[tuple[str, str, float]]) -> DataFrame:
+    """Labelled findings of texts (text, value, label): the candidates that are, or hold, the text's value."""
+    texts = spark.createDataFrame(rows, "text string, value string, label double")
+    found = texts.select("value", "label", F.explode(candidates(F.col("text"), language)).alias("c"))
+    own = (F.col("c.value") == F.col("value")) | (F.col("c.value").contains(F.col("value")) & (F.length("c.value") <= F.length("value") + 12))
+    return found.where(own).select("label", *[F.col("c")[f].alias(f) for f in FEATURES])
+
+
 def learn(docs: DataFrame) -> tuple[Language, Forest | None]:
-    """Words and pairs of the corpus, and the forest fitted on the findings that their shape labels."""
+    """Words and pairs of the corpus, and the forest fitted on its findings that their shape labels and on the generated forms.
+
+    An empty corpus teaches nothing.
+    """
     language = Language.learn(docs)
-    return language, Forest.fit(labelled_findings(docs, language))
+    own = labelled_findings(docs, language)
+    if not language.common and own.isEmpty():
+        return language, None
+    generated = taught_findings(docs.sparkSession, language, secret_forms.examples(language.common))
+    return language, Forest.fit(own.select("label", *FEATURES).unionByName(generated))
 
 
 def op7_secret_scan(spark, sf_dir):
