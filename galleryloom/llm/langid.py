@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SEGMENT = 128
 # Texts are labelled in groups of about this many characters, with tables of at most about this many cells.
 GROUP_CHARS = 1_000_000
 SCORE_CELLS = 2_000_000
+# Letter groups are turned into keys so many at a time.
+KEY_GROUPS = 20_000
 UNDETERMINED = "und"
 
 # First and last code point of the blocks that letters of a script come from.
@@ -144,24 +147,29 @@ class Scorer:
 
 @dataclass
 class Model:
-    """Letter groups with a row of log probabilities per language; the last row is that of an unseen group."""
+    """Letter groups, as an Arrow array, with a row of log probabilities per language; the last row is that of an unseen group."""
 
     languages: list[str]
-    rows: dict[str, int]
+    groups: pa.Array
     weights: np.ndarray
     scripts: dict[str, np.ndarray]
 
+    @property
+    def rows(self) -> dict[str, int]:
+        """The row of every letter group."""
+        return {group: i for i, group in enumerate(self.groups.to_pylist())}
+
     def scorer(self) -> Scorer:
         """The packed form that is sent to the workers."""
-        keys = np.zeros(0, np.uint64)
-        if self.rows:
-            all_keys, counts = gram_keys(list(self.rows))
-            keys = all_keys[np.cumsum(counts) - 1]
-        order = np.argsort(keys)
+        keys = [np.zeros(0, np.uint64)]
+        for at in range(0, len(self.groups), KEY_GROUPS):
+            found, counts = gram_keys(self.groups.slice(at, KEY_GROUPS).to_pylist())
+            keys.append(found[np.cumsum(counts) - 1])
+        joined = np.concatenate(keys)
+        order = np.argsort(joined)
         every = np.ones(len(self.languages), bool)
         allowed = np.array([self.scripts.get(name, every) for name in _SCRIPTS])
-        place = np.fromiter(self.rows.values(), np.int64, len(self.rows))[order]
-        return Scorer(self.languages, keys[order], np.vstack([self.weights[place], self.weights[-1:]]), allowed)
+        return Scorer(self.languages, joined[order], np.vstack([self.weights[order], self.weights[-1:]]), allowed)
 
 
 def _entries(scores: np.ndarray, begin: np.ndarray, order: np.ndarray, penalty: np.float32) -> np.ndarray:
@@ -343,11 +351,12 @@ def fit(
     best = known.groupBy("item").agg(F.max(F.col("n") / sums[F.col("lang")]).alias("share"), F.collect_list(entry).alias("entries"))
     # Arrow columns with the counts that are not 0: no row objects, and no broadcast of the groups.
     kept = best.orderBy(F.desc("share"), "item").limit(max_grams).select("item", "entries").toArrow().combine_chunks().sort_by("item")
-    rows = {gram: i for i, gram in enumerate(kept["item"].to_pylist())}
-    tally = np.zeros((len(rows) + 1, len(languages)), np.float64)
-    if rows:
+    groups = kept["item"].combine_chunks()
+    groups = groups if isinstance(groups, pa.Array) else pa.array([], pa.string())
+    tally = np.zeros((len(groups) + 1, len(languages)), np.float64)
+    if len(groups):
         entries = kept["entries"].combine_chunks()
-        owner = np.repeat(np.arange(len(rows)), entries.value_lengths().to_numpy())
+        owner = np.repeat(np.arange(len(groups)), entries.value_lengths().to_numpy())
         tally[owner, entries.flatten().field("place").to_numpy()] = entries.flatten().field("n").to_numpy()
     del kept
     scripts: dict[str, Counter] = {}
@@ -362,7 +371,7 @@ def fit(
         script: np.array([counts_of[lang] >= SCRIPT_SHARE * by_lang[lang] for lang in languages])
         for script, counts_of in scripts.items()
     }
-    return Model(languages, rows, weights.astype(np.float32), {s: a for s, a in allowed.items() if a.any()})
+    return Model(languages, groups, weights.astype(np.float32), {s: a for s, a in allowed.items() if a.any()})
 
 
 def identify(text: Column, model: Model, spark, penalty: float = SWITCH_PENALTY) -> Column:
