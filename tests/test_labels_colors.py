@@ -128,3 +128,13 @@ def test_absent_sections_are_null(spark):
     row = normalize_annotations(docs).first()
     assert row.image_name == "a"
     assert all(row[c] is None for c in row.asDict() if c != "image_name")
+
+
+def test_matrix_in_long_form_has_zeros(spark):
+    sets = spark.createDataFrame([("1", ["a", "b"]), ("2", ["b"]), ("3", ["c"]), ("4", ["a", "b"])], "doc_key string, labels array<string>")
+    cells = labels.cooccurrence_filled(labels.label_pairs(sets), labels.label_image_counts(sets)).collect()
+    got = {(r.row_label, r.col_label): r.images for r in cells}
+    assert len(cells) == 9 and got == {
+        ("a", "a"): 2, ("a", "b"): 2, ("a", "c"): 0, ("b", "a"): 2, ("b", "b"): 3, ("b", "c"): 0, ("c", "a"): 0, ("c", "b"): 0, ("c", "c"): 1
+    }
+    assert labels.cooccurrence_filled(labels.label_pairs(sets.limit(0)), labels.label_image_counts(sets.limit(0))).count() == 0

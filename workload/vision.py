@@ -170,14 +170,17 @@ def pair_topk(spark, sf):
     "cooccurrence_matrix",
     _SETS0
     + _PAIRS.rstrip().rstrip(",")
-    + """
-SELECT label_a AS row_label, label_b AS col_label, co_occurrence AS images FROM pairs
+    + """,
+cells AS (SELECT label_a AS row_label, label_b AS col_label, co_occurrence AS images FROM pairs
 UNION ALL SELECT label_b, label_a, co_occurrence FROM pairs
-UNION ALL SELECT label, label, images FROM counts""",
+UNION ALL SELECT label, label, images FROM counts)
+SELECT a.label AS row_label, b.label AS col_label, coalesce(cells.images, 0) AS images
+FROM counts a CROSS JOIN counts b LEFT JOIN cells ON row_label = a.label AND col_label = b.label""",
 )
 def cooccurrence_matrix(spark, sf):
+    """The zero-filled matrix in long form."""
     sets = _sets(spark, sf)
-    return labels.cooccurrence_cells(labels.label_pairs(sets), labels.label_image_counts(sets))
+    return labels.cooccurrence_filled(labels.label_pairs(sets), labels.label_image_counts(sets))
 
 
 # ---------------------------------------------------------------- colours
