@@ -70,3 +70,11 @@ def test_one_row_many_times(spark):
     d = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same words here " * 9).alias("text"))
     found = rs.resample(d, d.limit(3).select("text")).select("resampled.rank").collect()
     assert sorted(r["rank"] for r in found if r["rank"]) == list(range(1, 301)) and len(found) == 3000
+
+
+def test_words_are_cut_not_matched(spark):
+    # Extracting every match took several times the work of cutting the text (950 CPU seconds a GB, limit 900).
+    texts = [None, "", "  ", "A-b é É İ ß a", "x", "-x-", "1_2 3", "日本 語,Q9"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", rs.word_list(F.col("text")).alias("w"))
+    assert "regexp_extract_all" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.text, r.w) for r in frame.collect()] == [(t, [w.decode() for w in WORD.findall((t or "").encode().lower())]) for t in texts]
