@@ -114,3 +114,16 @@ def test_vocabulary_is_closed(spark):
     docs = tokens_df(spark, [list(p) for p in itertools.permutations(["aa", "bb", "cc"])])
     for tokens in tokens_of(ops.doc_freq_filter(docs, 0.0, 1.0)).values():
         assert sorted(tokens) == ["aa", "bb", "cc"]
+
+
+def test_tokens_are_cut_not_matched(spark):
+    # Extracting every match of a pattern took up to three times the work of cutting the text.
+    import re
+
+    texts = [None, "", " ", "_", "a", "ab c", "x_1 Éa½ 日本", "don't 3d 42", "😀ab😀"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.word_tokens(F.col("text")).alias("w"), tx.tokenize_basic("text").alias("b"))
+    assert "regexp_extract_all" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    for row in frame.collect():
+        assert row.w == re.findall(r"[^\W]{2,}", (row.text or "").lower())
+        runs = re.findall(r"(?:[^\W\d]|½)+", (row.text or "").lower())
+        assert row.b == [t for t in runs if 3 <= len(t) <= 30 and not t.startswith("_")]
