@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleryloom.functions.annotations import field, is_object, member
@@ -13,6 +13,7 @@ from galleryloom.functions.color import (
     TONE_COLORS,
     WHITE_ABOVE_VALUE,
 )
+from galleryloom.operators.keyed import unroll
 
 # Where the first dominant colour is found, normalised layout before raw layout.
 COLOR_PATHS = ("image_properties.dominant_colors[0]", "imagePropertiesAnnotation.dominantColors.colors[0]")
@@ -45,7 +46,9 @@ def top_colors(docs: DataFrame, document: str = "document", keep: tuple[str, ...
     An entry without `color`, or with missing channels, counts as zero; other shapes are skipped.
     Done in steps so that each VARIANT access is evaluated once.
     """
-    found = _first_entries(docs, document, list(keep)).where(F.col("_entry").isNotNull())
+    # Unrolled from a list of at most one: the optimizer would move a filter below the parsing and repeat all of it.
+    entries = _first_entries(docs, document, list(keep))
+    found = unroll(entries, list(keep), F.filter(F.array("_entry"), lambda e: e.isNotNull()), "_entry")
     return found.select(*keep, *_channels())
 
 
@@ -95,8 +98,8 @@ def tone_distribution(tones: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     """Images per tone and their share of the coloured images (of the group, when grouped)."""
     counts = tones.groupBy(*keys, "tone").agg(F.count(F.lit(1)).alias("count"))
     if not keys:
-        total = counts.agg(F.sum("count")).scalar()
-        return counts.withColumn("fraction", F.col("count") / total)
+        # A window over the few tones: a second aggregate could read the documents again.
+        return counts.withColumn("fraction", F.col("count") / F.sum("count").over(Window.partitionBy()))
     totals = counts.groupBy(*keys).agg(F.sum("count").alias("_total"))
     return (
         counts.join(totals, list(keys))

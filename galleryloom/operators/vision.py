@@ -47,8 +47,13 @@ def enum_name(value: Column, names: list[str]) -> Column:
 
 
 def _filled(items: Column) -> Column:
-    """NULL for an empty list."""
-    return F.when(F.size(items) > 0, items)
+    """NULL for an empty list. A filter over a list of one, since a condition would evaluate the items twice."""
+    return F.get(F.filter(F.array(items), lambda x: F.size(x) > 0), F.lit(0))
+
+
+def _present(value: Column, body) -> Column:
+    """`body` of a value that is not NULL, which is evaluated once."""
+    return F.get(F.transform(F.filter(F.array(value), lambda x: x.isNotNull()), body), F.lit(0))
 
 
 def _points(poly: Column, name: str = "vertices", data_type: str = _POINTS) -> Column:
@@ -110,9 +115,7 @@ def document_text(doc: Column) -> Column:
         )
 
     raw = field(doc, "full_text_annotation", f"struct<text:string,pages:array<{_PAGE}>>")
-    return F.when(
-        raw.isNotNull(), F.struct(raw["text"].alias("text"), F.transform(raw["pages"], page).alias("pages"))
-    )
+    return _present(raw, lambda r: F.struct(r["text"].alias("text"), F.transform(r["pages"], page).alias("pages")))
 
 
 def landmarks(doc: Column) -> Column:
@@ -232,17 +235,20 @@ def web_detection(doc: Column) -> Column:
         "best_guess_labels": "array<struct<label:string,language_code:string>>",
     }
     raw = field(doc, "web_detection", "struct<" + ",".join(f"{n}:{t}" for n, t in lists.items()) + ">")
-    filled = F.struct(*[_filled(raw[n]).alias(n) for n in lists])
-    has_items = F.lit(False)
-    for n in lists:
-        has_items = has_items | (F.size(F.coalesce(raw[n], F.array().cast(lists[n]))) > 0)
-    return F.when(has_items, filled)
+
+    def filled(r: Column) -> Column:
+        has_items = F.lit(False)
+        for n in lists:
+            has_items = has_items | (F.size(F.coalesce(r[n], F.array().cast(lists[n]))) > 0)
+        return F.when(has_items, F.struct(*[_filled(r[n]).alias(n) for n in lists]))
+
+    return _present(raw, filled)
 
 
 def safe_search(doc: Column) -> Column:
     names = ["adult", "spoof", "medical", "violence", "racy"]
     raw = field(doc, "safe_search_annotation", "struct<" + ",".join(f"{n}:string" for n in names) + ">")
-    return F.when(raw.isNotNull(), F.struct(*[enum_name(raw[n], LIKELIHOODS).alias(n) for n in names]))
+    return _present(raw, lambda r: F.struct(*[enum_name(r[n], LIKELIHOODS).alias(n) for n in names]))
 
 
 def faces(doc: Column) -> Column:
@@ -299,19 +305,33 @@ def normalize_annotations(
     )
 
 
+def section_items(normalized: DataFrame, items: str | Column, out: str = "e") -> DataFrame:
+    """(image_name, `out`): one row per item of a list section.
+
+    The outer generator, whose rows of missing and empty lists are dropped by their position: for the inner
+    one the optimizer moves a test of the list below the parsing and so repeats all of it several times.
+    """
+    rows = normalized.select("image_name", F.posexplode_outer(items).alias("_place", out))
+    return rows.where(F.col("_place").isNotNull()).select("image_name", out)
+
+
 def document_words(normalized: DataFrame) -> DataFrame:
-    """Long form of the full text: one row per word with the numbers of its page, block and paragraph."""
+    """Long form of the full text: one row per word with the numbers of its page, block and paragraph.
+
+    Outer generators, as in `section_items`; a missing level leaves the word's number empty.
+    """
     return (
-        normalized.select("image_name", F.posexplode("document_text_annotation.pages").alias("page_no", "page"))
-        .select("image_name", "page_no", F.posexplode("page.blocks").alias("block_no", "block"))
+        normalized.select("image_name", F.posexplode_outer("document_text_annotation.pages").alias("page_no", "page"))
+        .select("image_name", "page_no", F.posexplode_outer("page.blocks").alias("block_no", "block"))
         .select(
             "image_name", "page_no", "block_no", F.col("block.block_type").alias("block_type"),
-            F.posexplode("block.paragraphs").alias("paragraph_no", "paragraph"),
+            F.posexplode_outer("block.paragraphs").alias("paragraph_no", "paragraph"),
         )
         .select(
             "image_name", "page_no", "block_no", "block_type", "paragraph_no",
-            F.posexplode("paragraph.words").alias("word_no", "word"),
+            F.posexplode_outer("paragraph.words").alias("word_no", "word"),
         )
+        .where(F.col("word_no").isNotNull())
         .select(
             "image_name", "page_no", "block_no", "block_type", "paragraph_no", "word_no",
             F.array_join("word.symbols.text", "").alias("word"),
