@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galleryloom.operators import features as ft
-from galleryloom.operators import grams, models
+from galleryloom.operators import grams, models, text
 
 TEXTS = ["", "a", "abcabcabc", "né 😀😀 né", "\x00\x00a\x00\x00", "   x  y ", "zz" * 40, None]
 
@@ -58,6 +58,20 @@ def test_repeated_and_null_keys(spark, family, monkeypatch):
     assert sorted(((r.key, r.lang, r.term, round(r.weight, 9)) for r in joined.collect()), key=str) == want
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_vocabulary_look_up(monkeypatch, words):
+    rows = [t.split() for t in ("a b a", "zz a", "", "b é b a")] if words else ["abab", "xay", "", "é😀ba"]
+    column = pa.array(rows, pa.list_(pa.string()) if words else pa.string())
+    terms = pa.array(["a b", "a", "b é b", "q q"] if words else ["ab", "a", "é😀b", "bab", "qq"])
+    for codes in (grams.CODES, 8):
+        monkeypatch.setattr(grams, "CODES", codes)
+        found = list(zip(*(x.tolist() for x in grams.Vocabulary(terms, words).known(column, 1, 3))))
+        join = " ".join if words else "".join
+        counts = [plain(r, 1, 3, join) for r in rows]
+        assert sorted(found) == sorted((i, j, c[t]) for i, c in enumerate(counts) for j, t in enumerate(terms.to_pylist()) if c[t])
+    assert [len(x) for x in grams.Vocabulary(pa.array([], pa.string()), words).known(column, 1, 3)] == [0, 0, 0]
+
+
 def test_weights_do_not_unroll(spark):
     docs = spark.createDataFrame([(f"k{i}", "abc abd") for i in range(6)], "key string, text string")
     vocabulary = ft.fit_vocabulary(docs, ft.CHARS)
@@ -75,3 +89,14 @@ def test_count_vectors(spark):
     assert [(k, sorted(v)) for k, v in vectors] == [
         ("a", [("ab", 1.0), ("ba", 1.0), ("bab", 1.0)]), ("a", [("ab", 2.0), ("aba", 1.0), ("ba", 1.0), ("bab", 1.0)]), ("b", []), ("c", [("zz", 2.0), ("zzz", 1.0)]),
     ]
+
+
+def test_pairs_are_counted_per_block(spark):
+    rows = [(["a", "b", "a", "b"],), ([],), (None,), (["x y", "z"],), (["x", "y z"],), (["a"],)]
+    docs = spark.createDataFrame(rows, "tokens array<string>")
+    counts = text.ngram_counts(docs)
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.a, r.b): r.n for r in counts.collect()} == {
+        ("a", None): 3, ("b", None): 2, ("x y", None): 1, ("z", None): 1, ("x", None): 1, ("y z", None): 1,
+        ("a", "b"): 2, ("b", "a"): 1, ("x y", "z"): 1, ("x", "y z"): 1,
+    }
