@@ -51,13 +51,20 @@ def _names(units: np.ndarray, alphabet) -> pa.Array:
     return columns[0] if n == 1 else pc.binary_join_element_wise(*columns, " ")
 
 
+def _joined(column: pa.Array) -> str:
+    """All texts of a column as one, without a Python string for each."""
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, "<i8" if pa.types.is_large_string(column.type) else "<i4")[column.offset :]
+    return str(memoryview(data)[edges[0] : edges[len(column)]], "utf-8") if len(column) and data is not None else ""
+
+
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, object]:
     """Units of texts (characters) or token lists as numbers of an alphabet, and the units per row."""
     if pa.types.is_list(column.type):
         coded = column.flatten().dictionary_encode()
         lengths = column.value_lengths().to_numpy(zero_copy_only=False)
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths, coded.dictionary
-    points = np.frombuffer("".join(column.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+    points = np.frombuffer(_joined(column).encode("utf-32-le", "surrogatepass"), "<u4")
     seen = np.zeros(int(points.max(initial=0)) + 1, np.int64)
     seen[points] = 1
     alphabet = np.flatnonzero(seen)

@@ -31,6 +31,13 @@ def test_blocks_equal_plain_count(monkeypatch, codes):
     assert list(grams.cut(pa.array([], pa.string()), 3, 5)) == []
 
 
+def test_texts_of_a_column_are_joined():
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["x", "é😀", "", "b\x00"], kind)
+        assert [grams._joined(c) for c in (column, column.slice(1, 2), column.slice(2, 1), column.slice(4))] == ["xé😀b\x00", "é😀", "", ""]
+    assert grams._joined(pa.array([], pa.string())) == grams._joined(pa.array(["", ""])) == ""
+
+
 def test_long_texts_split_into_blocks():
     batch = pa.RecordBatch.from_arrays([pa.array(["aaa", "b" * 50, "", "cc"])], ["units"])
     assert [b.num_rows for b in grams.blocks(batch, "units", 5)] == [1, 1, 2]
