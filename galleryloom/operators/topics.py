@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleryloom.functions.text import word_tokens
+from galleryloom.operators import windows
 from galleryloom.operators.keyed import checked_lookup, join_lookup, place_by_key, quantile_values, unroll
 from galleryloom.session import materialize
 
@@ -221,15 +222,43 @@ def approx_topic_distribution(
 
     Each window's similarity to a topic is the cosine of their weighted term vectors, zero below
     min_similarity; every token of the window receives it, and a document's sums are normalised. The
-    last window is the first that reaches the end. Tokens know their windows from their position, and
-    all steps after the placement by document stay inside it.
+    last window is the first that reaches the end.
+
+    Windows are counted inside the token list. The most frequent terms travel to the documents; only places of
+    the other terms are joined and come back as one list per document. Rows of repeated or NULL keys are one
+    document and take the row-wise way.
     """
-    useful = weights.where(F.col(topic) != NOISE)
-    norms = useful.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-    unit = useful.join(norms, topic).select("term", topic, "idf", (F.col("weight") / F.col("_norm")).alias("u"))
-    every_idf = weights.groupBy("term").agg(F.max("idf").alias("idf"))
-    vectors = unit.groupBy("term").agg(F.collect_list(F.struct(topic, "u")).alias("topics"))
-    lookup = checked_lookup(every_idf.join(vectors, "term", "left"), "term-topics")
+    entry = F.when(F.col(topic) != NOISE, F.struct(F.col(topic).alias("topic"), "weight"))
+    stored = checked_lookup(
+        weights.where(F.col("term").isNotNull()).groupBy("term").agg(F.max("idf").alias("idf"), F.collect_list(entry).alias("topics")), "term-topics"
+    )
+    norms = stored.select(F.inline("topics")).groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")).orderBy("topic").collect()
+    law = windows.Law(window, stride, min_similarity, [r.topic for r in norms], [r.norm for r in norms])
+    limit = windows.frequent_from(stored)
+    frequent = stored.where(windows.step() >= limit)
+    terms = windows.Terms(docs.sparkSession, frequent.toArrow(), law)
+
+    several = (F.count(F.lit(1)) > 1) | F.col(key).isNull()
+    repeated = materialize(docs.groupBy(key).agg(several.alias("_again")).where("_again"), "repeated-keys")
+    alone = docs.select(key, "tokens")
+    again = None
+    if not repeated.isEmpty():
+        marked = join_lookup(alone, repeated, key, "left", spread="tokens")
+        doubled = F.col("_again").isNotNull() | F.col(key).isNull()
+        alone, again = marked.where(~doubled).drop("_again"), marked.where(doubled).drop("_again")
+    rare = windows.other_places(alone, key, terms).join(stored.where(windows.step() < limit), "term")
+    lists = rare.groupBy(key).agg(F.collect_list(F.struct("pos", "idf", "topics")).alias("others"))
+    found = windows.distribution(place_by_key(alone, key).join(lists, key, "left"), key, terms, docs.schema[key], weights.schema[topic])
+    return found if again is None else found.unionByName(_distribution_by_rows(again, stored, law, key, topic))
+
+
+def _distribution_by_rows(docs: DataFrame, stored: DataFrame, law: windows.Law, key: str, topic: str) -> DataFrame:
+    """`approx_topic_distribution` where a document may be several rows. Tokens know their windows from their position, and
+    all steps after the placement by document stay inside it."""
+    norm = F.create_map(*[F.lit(x) for pair in zip(law.topics, law.norms) for x in pair]) if law.topics else F.lit(None).cast("map<int,double>")
+    unit = F.transform("topics", lambda e: F.struct(e["topic"].alias(topic), (e["weight"] / F.element_at(norm, e["topic"])).alias("u")))
+    lookup = checked_lookup(stored.select("term", "idf", unit.alias("topics")), "term-units")
+    window, stride = law.window, law.stride
     rows = (
         place_by_key(docs.select(key, "tokens"), key)
         .select(key, F.size("tokens").alias("n"), F.posexplode_outer("tokens").alias("pos", "term"))
@@ -248,7 +277,7 @@ def approx_topic_distribution(
         .where(F.col(topic).isNotNull())
         .groupBy(key, "n", "w", topic)
         .agg((F.sum(F.col("x") * F.col("u")) / F.first("length")).alias("similarity"))
-        .where(F.col("similarity") >= min_similarity)
+        .where(F.col("similarity") >= law.min_similarity)
     )
     tokens_in_window = F.least(F.lit(window), F.col("n") - F.col("w") * stride)
     sums = scored.groupBy(key, topic).agg(F.sum(F.col("similarity") * tokens_in_window).alias("_s"))
