@@ -135,7 +135,7 @@ def _topic_sums(block: pa.RecordBatch, terms: Terms) -> np.ndarray:
     """Per document and topic, the similarities of all windows times their tokens."""
     law = terms.law
     codes, idf, units, sizes = _vectors(block, terms)
-    units *= idf[:, None]
+    units = units * idf[:, None]
     per_doc = np.where(sizes > 0, -(-np.maximum(sizes - law.window, 0) // law.stride) + 1, 0)
     doc = np.repeat(np.arange(len(sizes)), per_doc)
     begin = (np.arange(len(doc)) - (np.cumsum(per_doc) - per_doc)[doc]) * law.stride
