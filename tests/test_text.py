@@ -1,9 +1,11 @@
 import itertools
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from galleryloom.functions import text as tx
+from galleryloom.operators import keyed
 from galleryloom.operators import text as ops
 from galleryloom.plans.clean import clean_texts
 
@@ -63,6 +65,26 @@ def test_phrases_merge_greedily(spark):
     }
 
 
+def test_phrases_merge_inside_the_lists(spark, monkeypatch):
+    # Every token was shuffled to the phrases when these were too many for a broadcast join.
+    monkeypatch.setattr(keyed, "BROADCAST_ROWS", 0)
+    rng = random.Random(2)
+    lists = [[rng.choice(["aa", "bb", "cc", "dd", "é", None]) for _ in range(rng.randrange(12))] for _ in range(80)] + [None]
+    pairs = [("aa", "bb", 9), ("bb", "aa", 7), ("aa", "aa", 8), ("cc", "é", 6), ("é", "cc", None), ("zz", "aa", 9)]
+    phrases = spark.createDataFrame(pairs, "a string, b string, n bigint")
+    docs = tokens_df(spark, lists)
+    accepted = phrases.select(F.concat_ws(" ", "a", "b").alias("pair"), F.col("n").alias("pair_count"))
+    merged = ops.apply_phrases(docs, phrases)
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert tokens_of(merged) == tokens_of(ops._apply_by_rows(docs, accepted, "key"))
+    assert tokens_of(ops.apply_phrases(docs, phrases.limit(0))) == {i: [t for t in ts or [] if t is not None] for i, ts in enumerate(lists)}
+    # Rows of repeated and NULL keys are one document each, as before; a space inside a word leaves the cut of a pair open.
+    twice = spark.createDataFrame([(1, ["aa", "bb"]), (1, []), (None, ["bb", "aa"]), (2, ["cc", "é", "cc"])], "key int, tokens array<string>")
+    assert tokens_of(ops.apply_phrases(twice, phrases)) == tokens_of(ops._apply_by_rows(twice, accepted, "key"))
+    spaced = spark.createDataFrame([("a b", "c", 9)], "a string, b string, n bigint")
+    assert tokens_of(ops.apply_phrases(tokens_df(spark, [["a", "b c"], ["a b", "c"]]), spaced)) == {0: ["a_b c"], 1: ["a b_c"]}
+
+
 def test_phrase_scores(spark):
     docs = tokens_df(spark, [["new", "york"]] * 8 + [[f"w{i}", f"v{i}"] for i in range(60)])
     mined = ops.mine_phrases(docs, 5, 1.0).collect()
