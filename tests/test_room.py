@@ -86,3 +86,24 @@ def test_columns_in_groups_equal_columns_together(spark, monkeypatch):
         assert model.weights.shape == (10, 6)
         apart |= {tuple(r) for r in linear.confusions(blocks, layout, model, chosen).collect()}
     assert apart == together
+
+
+def test_projected_cells_travel_once_per_document(spark, monkeypatch):
+    """Sums of runs that cut documents apart, repeated and NULL keys: equal to plain sums, grouped by one shuffle by key."""
+    monkeypatch.setattr(ft, "SUM_ROWS", 7)
+    terms = [f"t{i}" for i in range(30)]
+    vocabulary = spark.createDataFrame([(t, 3) for t in terms], "term string, df long")
+    given = [(None if k == 4 else f"k{k}", terms[(7 * k + 3 * i) % 30], 1.0 + i + k / 8) for k in range(6) for i in range(11)]
+    weights = spark.createDataFrame(given, "key string, term string, weight double").repartition(3)
+    alone = spark.createDataFrame([(t, t, 1.0) for t in terms], "key string, term string, weight double")
+    matrix = {(r.key, r.component): r.value for r in ft.sparse_projection(alone, vocabulary, 8).collect()}
+    want = {}
+    for key, term, weight in given:
+        for c in range(8):
+            if (term, c) in matrix:
+                want[key, c] = want.get((key, c), 0.0) + weight * matrix[term, c]
+    projected = ft.sparse_projection(weights, vocabulary, 8)
+    assert {(r.key, r.component): r.value for r in projected.collect()} == pytest.approx(want)
+    plan = ft.dense_rows(projected, 8)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "component" not in shuffles[0].split("hashpartitioning(")[1].split(",")[0]
