@@ -107,3 +107,30 @@ def test_pairs_are_counted_per_block(spark):
         ("a", None): 3, ("b", None): 2, ("x y", None): 1, ("z", None): 1, ("x", None): 1, ("y z", None): 1,
         ("a", "b"): 2, ("b", "a"): 1, ("x y", "z"): 1, ("x", "y z"): 1,
     }
+
+
+def test_packed_counts_equal_plain_ones(spark, monkeypatch):
+    """Tasks that merge and send their terms several times; terms of other alphabets, and bounds on the rows of a term."""
+    monkeypatch.setattr(grams, "STATS_UNITS", 40)
+    monkeypatch.setattr(grams, "MERGE_ROWS", 30)
+    monkeypatch.setattr(grams, "MERGE_TERMS", 60)
+    monkeypatch.setattr(grams, "HASHED_TERMS", 7)
+    texts = [f"grün {'äß'[i % 2]}{i % 9} \U0001f600ok 漢字{i % 4}" for i in range(60)] + ["", "x"]
+    plain, rows = Counter(), Counter()
+    for t in texts:
+        own = Counter(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1))
+        plain.update(own)
+        rows.update(own.keys())
+    units = spark.createDataFrame([(t,) for t in texts], "units string").repartition(3)
+    stats = grams.term_stats(units, 2, 3)
+    assert sorted(stats.columns) == ["df", "term", "total"]
+    assert {r.term: (r.df, r.total) for r in stats.collect()} == {t: (rows[t], n) for t, n in plain.items()}
+    assert {r.term for r in grams.term_stats(units, 2, 3, least=10).collect()} == {t for t in plain if rows[t] >= 10}
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(piece" in plan and "hashpartitioning(term" not in plan
+
+
+def test_hashes_follow_the_text_alone():
+    terms = pa.array(["a", "", "ab", "ba", "grün", "a", "aa"])
+    whole, again = grams._term_hashes(terms), grams._term_hashes(terms.slice(2))
+    assert (whole[2:] == again).all() and whole[0] == whole[5] and len(set(whole.tolist())) == 6
