@@ -107,3 +107,23 @@ def test_projected_cells_travel_once_per_document(spark, monkeypatch):
     plan = ft.dense_rows(projected, 8)._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(shuffles) == 1 and "component" not in shuffles[0].split("hashpartitioning(")[1].split(",")[0]
+
+
+def test_all_topic_numbers_share_their_vectors(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(models, "materialize", lambda df, label: written.append(label) or session.materialize(df, label))
+    docs = spark.createDataFrame([(f"k{i}", [f"w{(i + j) % 6}" for j in range(3)]) for i in range(24)], "key string, tokens array<string>")
+    table, best = models.choose_best_k(docs, [2, 3], passes=1)
+    assert [r.k for r in table.collect()] == [2, 3] and best.lda.getK() in (2, 3)
+    assert written.count("lda-vectors") == 1
+
+
+def test_short_boosting_keeps_a_round():
+    """Fewer rounds than `patience` cannot show that no tree at all is best."""
+    from galleryloom.operators import boosting
+
+    def rounds(losses, patience):
+        return len(boosting.boost(boosting.Settings(rounds=len(losses), patience=patience), lambda turn: ([boosting.Tree()], losses[turn]), lambda grown: None)[0])
+
+    assert rounds([0.69, 0.72], 50) == 2 and rounds([0.69, 0.72, 0.71, 0.8], 50) == 2 and rounds([0.69, 0.6, 0.7], 50) == 1
+    assert rounds([0.69, 0.72, 0.73, 0.74, 0.75], 3) == 0
